@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlore.llm import canonical_list, cooccurrence, layout_duplicates, mixture, survivor, tokenizer, unicode_form
+from setlore.llm import canonical_list, cooccurrence, languages, layout_duplicates, mixture, name_variants, survivor, tokenizer, unicode_form
 from setlore.session import materialise
 from setlore.tables import load
 
@@ -32,6 +32,11 @@ P1_COUNTS = """
 """
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = name_variants.pairs(name_variants.variants(load(spark, folder, "track"), "artist"))
+    return found.select(F.col("value_a").alias("artist_a"), F.col("value_b").alias("artist_b"))
+
+
 def _measured(spark: SparkSession, folder: str) -> DataFrame:
     """Tracks with the key of their recording and the measurements of their file; of repeated probe rows one counts."""
     probe = load(spark, folder, "probe").where("path is not null").groupBy("path").agg(F.max(F.struct("exists", "lossless", "bitrate", "size", "duration")).alias("m")).select("path", "m.*")
@@ -105,6 +110,26 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(*_mixed(spark, folder))
 
 
+def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = load(spark, folder, "documents")
+    profiles = languages.fit(languages.sample(documents, "doc_id", "text", "lang"))
+    return languages.segments(documents, "doc_id", "text", profiles), documents
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    found, documents = _segments(spark, folder)
+    found = found.select("doc_id", "seg", "lang")
+    labels = documents.select("doc_id", F.col("lang").alias("label"))
+    told = found.groupBy("doc_id").agg(F.min("lang").alias("low"), F.max("lang").alias("high")).join(labels, "doc_id")
+    right = told.where((F.col("low") == F.col("high")) & (F.col("label") == F.col("low"))).select("doc_id")
+    return found.join(right, "doc_id", "left_anti")
+
+
+def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document that has sentences, with its confidence."""
+    return languages.documents(_segments(spark, folder)[0], "doc_id")
+
+
 P4_TRIM = r"regexp_replace(coalesce(comment, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
 P4_SQL = P7_KEYS + f""",
     member AS (SELECT *, min(id) OVER (PARTITION BY k1, k2) AS group_id, count(*) OVER (PARTITION BY k1, k2) AS n FROM keyed),
@@ -117,7 +142,7 @@ P4_SQL = P7_KEYS + f""",
     UNION ALL SELECT group_id, 'comment', id FROM copy WHERE chars > 0 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY chars DESC, id) = 1
 """
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p1_found": p1_found, "p1_lift": p1_lift, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_copies": p7_copies}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_documents": p10_documents, "p1_found": p1_found, "p1_lift": p1_lift, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_copies": p7_copies}
 ORACLES = {
     "p4_found": P4_SQL,
     "p1_found": P1_COUNTS + "SELECT item_a AS tag_a, item_b AS tag_b FROM counted WHERE n_ab >= 5 AND 500 * n_ab >= n AND 2 * n_ab::HUGEINT * n >= 5 * n_a::HUGEINT * n_b",

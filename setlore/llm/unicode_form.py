@@ -25,7 +25,7 @@ OTHER_SCRIPTS = ("Cyrillic", "Greek", "Armenian", "Cherokee", "Lisu", "Coptic")
 # Ranges of compatibility characters that look like what they stand for.
 COMPATIBILITY_RANGES = ((0xFF01, 0xFF5E), (0xFF61, 0xFFDC), (0xFFE0, 0xFFEE), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x2160, 0x217F), (0x1D400, 0x1D7FF), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x212A, 0x212B))
 # Invisible characters beyond Unicode's format and control classes.
-INVISIBLE = "͏ᅟᅠㅤ឴឵⠀ﾠ"
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u2800\u3164\uffa0"
 
 
 def _quote(text: str) -> str:
