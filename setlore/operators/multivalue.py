@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from setlore.functions.distance import osa_within
 
-BLANKS = " \t\n\r\v\f   -   　"
+BLANKS = r"\s\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 # Marks that set values apart wherever they stand, and marks that do so only between blanks.
 MARKS = ",;/|\\·、"
 SPACED_MARKS = "+&"
