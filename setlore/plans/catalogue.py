@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from setlore.plans import multivalue
+from setlore.plans import affinity, library, multivalue
 
-QUERIES = {**multivalue.QUERIES}
-ORACLES = {**multivalue.ORACLES}
+MODULES = (affinity, library, multivalue)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
