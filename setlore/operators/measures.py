@@ -108,26 +108,24 @@ def collapse(values: Column) -> Column:
     return F.filter(F.transform(values, lambda x, i: F.when((i == 0) | (x != F.get(values, i - 1)), x)), lambda x: x.isNotNull())
 
 
-def pearson(a: Column, b: tuple[float, ...]) -> Column:
-    """Correlation of an array of len(b) values with a fixed profile."""
-    mean = sum(b) / len(b)
-    centred = [x - mean for x in b]
-    norm = sum(x * x for x in centred)
-    dot = sum((F.get(a, F.lit(i)) * w for i, w in enumerate(centred)), F.lit(0.0))
-    average = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / len(b)
-    square = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - average) * (x - average))
-    below = F.sqrt(square * norm)
-    return F.when(below == 0, 0.0).otherwise(dot / F.nullif(below, F.lit(0.0)))
+def correlations(profile: Column, template: tuple[float, ...]) -> Column:
+    """Correlation of a fixed profile with the array turned left by 0, 1, ... len - 1 places; 0 where nothing varies."""
+    size = len(template)
+    mean = sum(template) / size
+    centred = F.array(*[F.lit(x - mean) for x in template])
+    norm = sum((x - mean) ** 2 for x in template)
+    average = F.aggregate(profile, F.lit(0.0), lambda s, x: s + x) / size
+    below = F.sqrt(F.aggregate(profile, F.lit(0.0), lambda s, x: s + (x - average) * (x - average)) * norm)
+    dot = lambda t: F.aggregate(F.zip_with(F.concat(F.slice(profile, t + 1, F.lit(size) - t), F.slice(profile, F.lit(1), t)), centred, lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda t: F.coalesce(F.try_divide(dot(t), below), F.lit(0.0)))
 
 
 def find_key(profile: Column) -> Column:
     """struct(score, tonic, mode) of the best of 24 keys for a profile of twelve notes from C; minor has a lead."""
-    options = []
-    for tonic in range(12):
-        turned = F.concat(F.slice(profile, tonic + 1, 12 - tonic), F.slice(profile, 1, tonic)) if tonic else profile
-        options.append(F.struct(F.round(pearson(turned, MAJOR), 9).alias("score"), F.lit(tonic).alias("tonic"), F.lit("major").alias("mode")))
-        options.append(F.struct(F.round(pearson(turned, MINOR) + MINOR_LEAD, 9).alias("score"), F.lit(tonic).alias("tonic"), F.lit("minor").alias("mode")))
-    return F.array_max(F.array(*options))
+    def options(mode: str, template: tuple[float, ...], lead: float) -> Column:
+        return F.transform(correlations(profile, template), lambda c, t: F.struct(F.round(c + lead, 9).alias("score"), t.alias("tonic"), F.lit(mode).alias("mode")))
+
+    return F.array_max(F.concat(options("major", MAJOR, 0.0), options("minor", MINOR, MINOR_LEAD)))
 
 
 def cosine(a: Column, b: Column) -> Column:
