@@ -12,19 +12,35 @@ def osa_distance(a: str, b: str, cap: int | None = None) -> int:
         return 0
     if cap is not None and abs(len(a) - len(b)) > cap:
         return cap + 1
+    if cap is None:
+        cap = max(len(a), len(b))
+    far = cap + 1
     before: list[int] = []
-    last = list(range(len(b) + 1))
+    last = [j if j <= cap else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
+        low, high = max(1, i - cap), min(len(b), i + cap)  # no cell outside this band can be within the cap
+        row = [far] * (len(b) + 1) if len(b) < 64 else _Band(far)
+        if i <= cap:
+            row[0] = i
+        for j in range(low, high + 1):
+            y = b[j - 1]
             cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        if cap is not None and min(row) > cap:
-            return cap + 1
+            row[j] = min(cost, far)
         before, last = last, row
-    return last[-1] if cap is None else min(last[-1], cap + 1)
+    return last[len(b)]
+
+
+class _Band(dict):
+    """A sparse row: cells outside the band are far."""
+
+    def __init__(self, far: int) -> None:
+        super().__init__()
+        self.far = far
+
+    def __missing__(self, key: int) -> int:
+        return self.far
 
 
 def osa_within(a: str, b: str, most: int) -> bool:

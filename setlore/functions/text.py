@@ -82,7 +82,7 @@ def version_of(title: Column) -> Column:
 def split_title(title: Column) -> tuple[Column, Column]:
     """(base, version): brackets that name a version are kept apart, the others and featured artists dropped."""
     raw = F.coalesce(title, F.lit(""))
-    inner = F.transform(F.regexp_extract_all(raw, F.lit(r"[(\[]([^)\]]*)[)\]]"), F.lit(1)), F.trim)
+    inner = F.transform(F.regexp_extract_all(raw, F.lit(r"[(\[]([^)\]]*)[)\]]"), F.lit(1)), lambda x: F.trim(x))
     kept = F.filter(inner, lambda x: x.rlike(VERSION_HINT) & ~x.rlike(NO_VERSION))
     version = F.array_join(F.array_sort(F.filter(F.transform(kept, norm_text), lambda x: x != "")), " ")
     base = norm_text(F.regexp_replace(F.regexp_replace(raw, r"[(\[][^)\]]*[)\]]", " "), r"(?i)\b(feat|ft|featuring)\.?\s+[^()\[\]-]+", " "))

@@ -45,7 +45,7 @@ def effective(base: DataFrame, compacted: DataFrame) -> DataFrame:
 def baseline_holds(field: Column, current: Column, before: Column) -> Column:
     """Is the value still what the change was made against? Colours by lower case without blanks, ratings with 0 for none, genres by their parts."""
     plain = lambda c: F.coalesce(c, F.lit(""))
-    parts = lambda c: F.array_join(F.transform(F.split(plain(c), "[/,;|]"), F.trim), "/")
+    parts = lambda c: F.array_join(F.transform(F.split(plain(c), "[/,;|]"), lambda x: F.trim(x)), "/")
     zero = lambda c: F.when(plain(c) == "", "0").otherwise(c)
     return F.when(field == "color", F.lower(F.trim(plain(current))) == F.lower(F.trim(plain(before)))).when(field == "rating", zero(current) == zero(before)).when(field == "genre", parts(current) == parts(before)).otherwise(F.trim(plain(current)) == F.trim(plain(before)))
 

@@ -93,13 +93,13 @@ class Parser:
         self.blank = re.compile(f"[{BLANKS}]*")
         self.outer = re.compile(f"^[{BLANKS}]+|[{BLANKS}]+$")
         self.plain = re.compile(r'["(\[{]')
-        self.known: dict[str, int] = {}
+        self.known: set[str] = set()
         self.turned: set[str] = set()
         self.spans = 1
         for name in grammar.names:
             pieces = [p for p in self.gap.split(name) if p and p.strip()]
             if len(pieces) > 1:
-                self.known[name_key(name)] = len(pieces)
+                self.known.add(name_key(name))
                 self.spans = max(self.spans, len(pieces))
             words = name.split()
             if len(words) == 2 and all(w.isalpha() for w in words):
@@ -108,15 +108,14 @@ class Parser:
             self.spans = max(self.spans, 2)
 
     def is_known(self, text: str, pieces: int) -> bool:
-        """Does the text of so many pieces spell one reference name?"""
+        """Does a text of so many pieces spell one reference name?"""
         if pieces == 2 and re.sub(r"\s+", "", text.casefold()) in self.turned:
             return True
         key = name_key(text)
-        for name, parts in self.known.items():
-            if parts == pieces:
-                slips = 0 if len(name) < 6 else 1 if len(name) < 12 else 2
-                if abs(len(name) - len(key)) <= slips and osa_within(key, name, slips):
-                    return True
+        for name in self.known:  # a slip may have eaten a separator, so the number of pieces does not decide
+            slips = 0 if len(name) < 6 else 1 if len(name) < 12 else 2
+            if abs(len(name) - len(key)) <= slips and osa_within(key, name, slips):
+                return True
         return False
 
     def atoms(self, text: str) -> list[tuple[int, int, str | None, bool]]:
