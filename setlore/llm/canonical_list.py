@@ -130,11 +130,11 @@ def similarity_join(values: DataFrame, reference: DataFrame, threshold: float =
     return once.withColumn("jaccard", shared / (F.size("v_tokens") + F.size("r_tokens") - shared)).where(F.col("jaccard") >= threshold).drop("v_tokens", "r_tokens")
 
 
-def slips(a: Column, b: Column) -> Column:
-    """Edit distance with a swap of neighbours counted once, exact up to one swap."""
-    lev = F.levenshtein(a, b)
+def slips(a: Column, b: Column, most: int = 3) -> Column:
+    """Edit distance with a swap of neighbours counted once, exact up to one swap; most + 1 for anything beyond `most`."""
+    lev = F.levenshtein(a, b, most)
     swap = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.length(a))) == b)
-    return F.when((lev == 2) & (F.length(a) == F.length(b)) & swap, 1).otherwise(lev)
+    return F.when(lev < 0, most + 1).when((lev == 2) & (F.length(a) == F.length(b)) & swap, 1).otherwise(lev)
 
 
 def map_values(values: DataFrame, genre_ref: DataFrame, key_ref: DataFrame) -> DataFrame:
@@ -158,9 +158,12 @@ def map_values(values: DataFrame, genre_ref: DataFrame, key_ref: DataFrame) -> D
         "field", "value", F.coalesce("k.root", F.lit("")).alias("part"), F.when(F.col("field") == "key", F.coalesce("k.mode", F.lit(""))).otherwise(plain).alias("spelling")
     )
     spelled = materialise(spelled.withColumn("vid", F.concat_ws("\x1f", "part", "spelling")))
-    cut = with_tokens(spelled.where("part <> '' or spelling <> ''").select("field", "vid", "part", "spelling").distinct())
     reference = genre_spellings(genre_ref).unionByName(key_spellings(spark, key_ref)).distinct().withColumn("rid", F.concat_ws("\x1f", "entry", "part", "spelling"))
     reference = with_tokens(reference)
+    # a spelling more than two letters longer than every reference spelling has more slips than are allowed
+    longest_name = reference.agg(F.max(F.length("spelling"))).first()[0] or 0
+    fits = (F.length("spelling") <= longest_name + 2) & ((F.col("part") != "") | (F.col("spelling") != ""))
+    cut = with_tokens(spelled.where(fits).select("field", "vid", "part", "spelling").distinct())
     met = similarity_join(cut, reference)
     wrong = slips(F.col("spelling"), F.col("ref_spelling"))
     longest = F.greatest(F.length("spelling"), F.length("ref_spelling"))

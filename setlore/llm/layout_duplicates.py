@@ -34,7 +34,7 @@ def nfc(text: pa.Array) -> pa.Array:
 
 def letters_and_digits(text: Column) -> Column:
     """The letters, marks and digits of a text in order, without case. Null and empty give ''."""
-    folded = F.lower(F.upper(F.coalesce(nfc(text.cast("string")), F.lit(""))))
+    folded = F.replace(F.lower(F.upper(F.coalesce(nfc(text.cast("string")), F.lit("")))), F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(folded, r"[^\p{L}\p{M}\p{N}]+", "")
 
 

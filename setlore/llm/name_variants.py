@@ -54,6 +54,8 @@ PET_FORMS = {
 OWN_RIGHT = {"margarethe": ("greta", "margot"), "theodora": ("theo",), "elisabeth": ("elsa", "ella"), "isabella": ("ella",), "william": ("liam",), "nikolai": ("nico",), "leonardo": ("leo",)}
 #: A given name is established beside another if it stands with at least this share of the other's surnames, and with three.
 ESTABLISHED = 0.25
+#: Words of so many letters or more are indexed by their outer thirds.
+LONG = 40
 #: Values in one cell of the join that lists pairs.
 CELL = 512
 
@@ -86,8 +88,18 @@ def alignment_cost(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def deletes(word: Column) -> Column:
-    """The word and every form with one letter left out: the symmetric-delete neighbourhood of one slip."""
-    return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, F.length(word))))))
+    """Forms that two words within one slip always share: the symmetric-delete neighbourhood.
+
+    Up to LONG letters the word and every form with one letter left out. In a longer word one slip touches
+    two neighbouring letters at most, so its first or its last third stays whole: those thirds, for the
+    lengths that one letter more or less gives, are the forms, and their size stays linear.
+    """
+    n = F.length(word)
+    near = F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, n)))))
+    thirds = F.array_distinct(F.transform(F.array(n - 1, n, n + 1), lambda k: F.floor(k / 3).cast("int")))
+    ends = F.concat(F.transform(thirds, lambda k: F.concat(F.lit("<"), k.cast("string"), F.lit(":"), F.sha1(word.substr(F.lit(1), k)))), F.transform(thirds, lambda k: F.concat(F.lit(">"), k.cast("string"), F.lit(":"), F.sha1(word.substr(n - k + 1, k)))))
+    # around the border both kinds are emitted, so words on either side of it meet
+    return F.when(n < LONG, near).when(n <= LONG + 1, F.concat(near, ends)).otherwise(ends)
 
 
 def _tokens(name: Column) -> Column:

@@ -87,8 +87,8 @@ def p7_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 P7_KEYS = r"""
-    WITH part AS (SELECT id, regexp_replace(lower(upper(nfc_normalize(coalesce(title, '')))), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS t,
-        regexp_replace(lower(upper(nfc_normalize(coalesce(artist, '')))), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS a FROM track),
+    WITH part AS (SELECT id, regexp_replace(replace(lower(upper(nfc_normalize(coalesce(title, '')))), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS t,
+        regexp_replace(replace(lower(upper(nfc_normalize(coalesce(artist, '')))), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS a FROM track),
     keyed AS (SELECT id, least(t, a) AS k1, greatest(t, a) AS k2 FROM part WHERE regexp_matches(t, '[\p{L}\p{N}]') AND regexp_matches(a, '[\p{L}\p{N}]'))
 """
 
