@@ -73,27 +73,30 @@ def tempo_keys(df: DataFrame, bpm: str, reach: int) -> DataFrame:
     return df.withColumn("bucket", F.explode(F.sequence(at - reach, at + reach))) if reach else df.withColumn("bucket", at)
 
 
-def near_tempo(asked: DataFrame, pool: DataFrame, tolerance: float) -> DataFrame:
-    """(id, other, d): pairs of asked (id, bpm) and pool (other, other_bpm) within a tempo tolerance, half and double time included.
+def near_tempo(asked: DataFrame, pool: DataFrame, tolerance: float, on: list[str] | None = None) -> DataFrame:
+    """(id, other, d, *on): pairs of asked (id, bpm) and pool (other, other_bpm) within a tempo tolerance, half and double time included.
 
-    An equi-join on logarithmic tempo buckets: the asked side is copied to the buckets its tolerance
-    reaches, the pool to those of its tempo, half and double of it.
+    An equi-join on logarithmic tempo buckets and the columns `on`: the asked side is copied to the buckets
+    its tolerance reaches, the pool to those of its tempo, half and double of it. A pair is kept at the
+    form that gives its distance, so none comes twice and nothing has to be grouped.
     """
+    on = on or []
     reach = int(tolerance * 1.1 / BUCKET) + 1
-    left = tempo_keys(asked.where("bpm > 0").select("id", "bpm"), "bpm", reach)
-    forms = pool.where("other_bpm > 0").select("other", "other_bpm", F.explode(F.array(F.col("other_bpm"), F.col("other_bpm") * 2, F.col("other_bpm") * 0.5)).alias("form"))
-    met = left.join(tempo_keys(forms, "form", 0), "bucket").withColumn("d", bpm_distance(F.col("bpm"), F.col("other_bpm"))).where((F.col("d") <= tolerance) & (F.col("id") != F.col("other")))
-    return met.groupBy("id", "other").agg(F.min("d").alias("d"))
+    left = tempo_keys(asked.where("bpm > 0").select("id", "bpm", *on), "bpm", reach)
+    forms = pool.where("other_bpm > 0").select("other", "other_bpm", *on, F.explode(F.array(F.col("other_bpm"), F.col("other_bpm") * 2, F.col("other_bpm") * 0.5)).alias("form"))
+    met = left.join(tempo_keys(forms, "form", 0), ["bucket", *on]).where("id <> other")
+    d = bpm_distance(F.col("bpm"), F.col("other_bpm"))
+    return met.withColumn("d", d).where((F.col("d") <= tolerance) & (F.abs(F.col("bpm") - F.col("form")) / F.col("bpm") == F.col("d"))).select("id", "other", "d", *on)
 
 
 def key_neighbours(asked: DataFrame, view: DataFrame, tolerance: float = 0.06, limit: int = 60) -> DataFrame:
     """(id, pos, other, d): for each asked track the nearest in tempo whose key can follow; ties by id. Tracks without tempo are no neighbours."""
-    moves = F.broadcast(key_moves(view.sparkSession).where("level = 1").select("src", "dst"))
-    pool = view.select(F.col("id").alias("other"), F.col("bpm").alias("other_bpm"), F.col("key").alias("other_key"))
-    met = near_tempo(asked, pool, tolerance).join(asked.select("id", "key"), "id").join(pool.select("other", "other_key"), "other")
-    fits = met.join(moves.withColumnsRenamed({"src": "key", "dst": "other_key"}), ["key", "other_key"])
+    moves = F.broadcast(key_moves(view.sparkSession).where("level = 1").select(F.col("src").alias("key"), F.col("dst").alias("to")))
+    ways = asked.select("id", "bpm", "key").join(moves, "key").select("id", "bpm", "to")
+    pool = view.select(F.col("id").alias("other"), F.col("bpm").alias("other_bpm"), F.col("key").alias("to"))
     w = Window.partitionBy("id").orderBy(F.round("d", 9), "other")
-    return fits.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit).select("id", "pos", "other", F.round("d", 9).alias("d"))
+    near = near_tempo(ways, pool, tolerance, ["to"])
+    return near.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit).select("id", "pos", "other", F.round("d", 9).alias("d"))
 
 
 def suggest_tags(asked: DataFrame, view: DataFrame, floor: float = 0.45, limit: int = 60, least: int = 6, top: int = 8) -> DataFrame:
@@ -105,12 +108,10 @@ def suggest_tags(asked: DataFrame, view: DataFrame, floor: float = 0.45, limit:
     """
     pool = view.where(F.exists("tags", lambda t: t.isNotNull()))
     kinds = lambda df: df.select("id", F.explode("genres").alias("g")).where("g is not null and g <> ''").select("id", F.explode(F.array(F.concat(F.lit("g:"), "g"), F.concat(F.lit("f:"), genre_family(F.col("g"))))).alias("kind")).where(F.col("kind") != f"f:{NO_FAMILY}").distinct()
-    near = near_tempo(asked, pool.select(F.col("id").alias("other"), F.col("bpm").alias("other_bpm")), 0.08)
-    mine = kinds(asked).groupBy("id").agg(F.collect_set("kind").alias("kinds"))
-    theirs = kinds(pool).groupBy("id").agg(F.collect_set("kind").alias("other_kinds")).withColumnRenamed("id", "other")
-    met = near.join(mine, "id").join(theirs, "other").withColumn("common", F.array_intersect("kinds", "other_kinds")).where(F.size("common") > 0)
-    rank = F.when(F.exists("common", lambda k: k.startswith("g:")), 0).otherwise(1)
-    w = Window.partitionBy("id").orderBy(rank, F.round("d", 9), "other")
+    left = kinds(asked).join(asked.select("id", "bpm"), "id")
+    right = kinds(pool).join(pool.select("id", F.col("bpm").alias("other_bpm")), "id").withColumnRenamed("id", "other")
+    met = near_tempo(left, right, 0.08, ["kind"]).groupBy("id", "other").agg(F.min("d").alias("d"), F.min(F.when(F.col("kind").startswith("g:"), 0).otherwise(1)).alias("rank"))
+    w = Window.partitionBy("id").orderBy("rank", F.round("d", 9), "other")
     similar = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select("id", "other")
     tags = pool.select(F.col("id").alias("other"), F.explode(F.array_distinct("tags")).alias("name")).where("name is not null")
     sizes = similar.groupBy("id").agg(F.count("*").alias("pool")).where(F.col("pool") >= least)
