@@ -17,8 +17,8 @@ def referenced_paths(df: DataFrame, id_col: str, text: str, pattern: str = FOLDE
 
 
 def device_paths(df: DataFrame, id_col: str, content: str, root: str = "/Contents/") -> DataFrame:
-    """(id_col, path): audio paths under a root inside binary content, each cut at the first audio extension within 512 characters."""
-    text = F.decode(F.col(content), F.lit("ISO-8859-1"))
+    """(id_col, path): audio paths under a root inside binary content read as UTF-8 without malformed bytes, each cut at the first audio extension within 512 characters."""
+    text = F.replace(F.make_valid_utf8(F.col(content).cast("string")), F.lit("\ufffd"), F.lit(""))
     pattern = rf"(?i){root}[^\x00-\x1f]{{0,{512 - len(root)}}}?\.(?:{'|'.join(AUDIO)})"
     return df.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("path"))
 
