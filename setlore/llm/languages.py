@@ -35,9 +35,9 @@ _HIDDEN = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f\\xad\\u061c\
 _ENDS = ".!?…。！？"
 _CUT = re.compile(rf"(?<=[{_ENDS}])[\"”’»)\]]*\s+|(?<=[。！？])(?![。！？\"”’»)\]])|[\n\r\x0b\x0c\x85\u2028\u2029]+|[ \t\u00a0]{{2,}}")
 _END = re.compile(rf"[{_ENDS}][\"”’»)\]]*$")
-_WORD = re.compile(r"[^\W\d_]+")
-_WIDE = re.compile("[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af]")
-_OTHER = re.compile(r"[\W\d_]+")
+_WORDS = re.compile(r"[\W\d_]*+(?:[^\W\d_]++[\W\d_]++){2}[^\W\d_]")
+_WIDE = "[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af]"
+_WIDE_LETTERS = re.compile(f"(?:{_WIDE}[^{_WIDE[1:]}*){{4}}")
 
 
 def sentences(text: str | None) -> list[str]:
@@ -48,14 +48,26 @@ def sentences(text: str | None) -> list[str]:
     found = []
     for piece in _CUT.split(_HIDDEN.sub("", text)):
         piece = piece.strip()
-        if piece and _END.search(piece) and (len(_WIDE.findall(piece)) >= 4 or len(_WORD.findall(piece)) >= 3):
+        if piece and _END.search(piece) and (_WORDS.match(piece) or _WIDE_LETTERS.search(piece)):
             found.append(piece)
     return found
 
 
+class _Plain(dict):
+    """A translation table, filled as letters occur, that turns all but letters into blanks."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = c if c.isalnum() and not c.isdecimal() else " "
+        return out
+
+
+_PLAIN = _Plain()
+
+
 def letters(sentence: str) -> str:
     """Lower-case letters, each stretch of anything else one blank, a blank at either end."""
-    return f" {_OTHER.sub(' ', sentence.lower()).strip()} "
+    return f" {' '.join(sentence.lower().translate(_PLAIN).split())} "
 
 
 def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,20 +187,21 @@ class Scorer:
 
     def cosines(self, texts: list[str]) -> np.ndarray:
         keys, starts = runs(texts)
-        distinct, where = np.unique(keys, return_inverse=True)
-        new = distinct[~np.isin(distinct, self.keys, assume_unique=True)]
-        if len(new):
+        where = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        if not len(self.keys) or (unknown := self.keys[where] != keys).any():
+            new = np.unique(keys[unknown] if len(self.keys) else keys)
             if len(self.keys) + len(new) > REMEMBERED:
-                self.keys, self.values, new = self.keys[:0], self.values[:0], distinct
+                self.keys, self.values, new = self.keys[:0], self.values[:0], np.unique(keys)
             merged = np.concatenate([self.keys, new])
             order = np.argsort(merged)
             self.values = np.concatenate([self.values, self.space.products(new, self.profiles.prototypes)])[order]
             self.keys = merged[order]
-        rows = self.values[np.searchsorted(self.keys, distinct)]
+            where = np.searchsorted(self.keys, keys)
+        rows, size = self.values, len(self.keys)
         dots = np.add.reduceat(rows[where], starts, axis=0)
         text_of = np.repeat(np.arange(len(texts)), np.diff([*starts, len(keys)]))
-        pair, counts = np.unique(text_of * len(distinct) + where, return_counts=True)
-        square = np.bincount(pair // len(distinct), counts.astype(float) ** 2, len(texts))
+        pair, counts = np.unique(text_of * size + where, return_counts=True)
+        square = np.bincount(pair // size, counts.astype(float) ** 2, len(texts))
         return dots / np.sqrt(square * self.space.dimensions)[:, None]
 
 
