@@ -118,7 +118,7 @@ def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     found, documents = _segments(spark, folder)
-    found = found.select("doc_id", "seg", "lang")
+    found = materialise(found.select("doc_id", "seg", "lang"))  # it is read twice
     labels = documents.select("doc_id", F.col("lang").alias("label"))
     told = found.groupBy("doc_id").agg(F.min("lang").alias("low"), F.max("lang").alias("high")).join(labels, "doc_id")
     right = told.where((F.col("low") == F.col("high")) & (F.col("label") == F.col("low"))).select("doc_id")
