@@ -4,19 +4,22 @@ Values that differ in layout only share one key. Each key is read as a core (the
 name from others: a surname, an act's own name) and a qualifier (a given name or its initial, the kind of
 act, a number). Small edit distances are found by a symmetric-delete neighbourhood index: words that
 differ by one slip share a form that both reach by deleting at most one letter, so an equi-join on these
-forms finds every candidate. Candidates are confirmed by the best assignment of their tokens, which
-permits initials, pet forms and abbreviations. Links between keys are closed to components.
+forms finds every candidate. Names of several telling words are candidates in any order if all words but the
+slipped one agree, or all but those that initials and pet forms stand for. Candidates are confirmed by
+the best assignment of their tokens, which permits initials, pet forms and one slip. Links between keys
+are closed to components.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
+from collections import Counter
+from itertools import combinations, permutations, product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from setlore.functions.distance import osa_distance
 from setlore.llm.canonical_list import fold_accents, slips
@@ -56,6 +59,8 @@ OWN_RIGHT = {"margarethe": ("greta", "margot"), "theodora": ("theo",), "elisabet
 ESTABLISHED = 0.25
 #: Words of so many letters or more are indexed by their outer thirds.
 LONG = 40
+#: Names of more words are found by their longest words instead of by all of them.
+FEW = 8
 #: Values in one cell of the join that lists pairs.
 CELL = 512
 
@@ -64,7 +69,10 @@ def alignment(a: list[str], b: list[str]) -> float:
     """The cost of the best assignment of two token lists: equal 0, pet form 0.25, initial 0.5, one slip 1, anything else 9; a token left over 9."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) > 6:  # longer names are compared in order
+    if len(b) > 6:  # of longer names the words that agree go first; what then is longer costs over 1 in any order
+        left, over = Counter(a) - Counter(b), Counter(b) - Counter(a)
+        a, b = [*left.elements()], [*over.elements()]
+    if len(b) > 6:
         return sum(_cost(x, y) for x, y in zip(a, b)) + 9.0 * (len(b) - len(a))
     return min((sum(_cost(x, y) for x, y in zip(a, order)) for order in permutations(b, len(a))), default=0.0) + 9.0 * (len(b) - len(a))
 
@@ -87,6 +95,29 @@ def alignment_cost(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([alignment(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
+def signatures(words: list[str], initials: bool = True) -> list[str]:
+    """Forms that two names of as many words share if pet forms and up to two initials tell them apart and another word agrees.
+
+    initials=False: without the forms that put an initial for a word. Of more than FEW words the five longest
+    are the forms: names whose alignment costs 1 or less differ in four at most, so they share one of these.
+    """
+    n = len(words)
+    if n > FEW:
+        numbered = [(w, k) for w, c in Counter(words).items() for k in range(c)]
+        return [f"{n} {w} {k}" for w, k in sorted(numbered, key=lambda x: (-len(x[0]), x))[:5]]
+    out = set()
+    for r in range(min(2, n - 1) + 1 if initials else 1):
+        for at in combinations(range(n), r):
+            if any(len(w) > 1 for i, w in enumerate(words) if i not in at):
+                out.update(" ".join(sorted(p)) for p in product(*[[w[0]] if i in at else [w, *_FULL.get(w, ())] for i, w in enumerate(words)]))
+    return sorted(out)
+
+
+@arrow_udf(ArrayType(StringType()))
+def signature_forms(words: pa.Array, initials: pa.Array) -> pa.Array:
+    return pa.array([signatures(w, i) for w, i in zip(words.to_pylist(), initials.to_pylist())], pa.list_(pa.string()))
+
+
 def deletes(word: Column) -> Column:
     """Forms that two words within one slip always share: the symmetric-delete neighbourhood.
 
@@ -174,6 +205,42 @@ def _given_likeness(words: DataFrame) -> DataFrame:
     return full.join(by_full, "word", "left").join(fuzzy, "word", "left").select("word", "full", F.greatest("df", F.coalesce("fdf", F.lit(0)), F.coalesce("ndf", F.lit(0))).alias("g"))
 
 
+def word_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links between acts and other names with two or more words in the core, the same qualifier and as many words in any order.
+
+    One word may have a slip, unless both its spellings are established; words may be pet forms; up to two may
+    be initials, where all names that fit them are one name. Another word of the core must agree.
+    """
+    several = materialise(nodes.where("kind in ('act', 'other')").select("node", "qual", "kind", F.split("core", " ").alias("words")).where(F.size("words") > 1))
+    people = nodes.where("kind = 'person'").select(F.explode(F.array("core", "qual")).alias("word"))
+    known = several.select(F.explode(F.array_distinct("words")).alias("word")).unionByName(people).groupBy("word").agg(F.count("*").alias("names"))
+    # one slip, the other words equal
+    out = several.where(F.size("words") <= FEW).select("node", "qual", "kind", "words", F.posexplode("words").alias("i", "word")).where(F.length("word") > 1)
+    out = out.withColumn("rest", F.array_join(F.sort_array(F.filter("words", lambda w, k: k != F.col("i"))), " ")).join(known, "word")
+    index = out.select("node", "qual", "kind", "rest", "words", "word", "names", F.explode(deletes(F.col("word"))).alias("form"))
+    right = index.withColumnsRenamed({"node": "node2", "words": "words2", "word": "word2", "names": "names2"})
+    both = (F.least("names", "names2") >= 3) & (F.least("names", "names2") >= ESTABLISHED * F.greatest("names", "names2"))
+    slip = index.join(right, ["qual", "kind", "rest", "form"]).where("node < node2").where((F.col("word") == F.col("word2")) | (~both & (slips(F.col("word"), F.col("word2")) <= 1)))
+    slip = slip.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("words").alias("x"), F.col("words2").alias("y"))
+    # another order, pet forms and initials; only names that hold an initial look for one
+    short = F.exists("words", lambda w: F.length(w) == 1)
+    signed = lambda df, initials: df.select("node", "qual", "kind", "words", F.explode(signature_forms("words", initials)).alias("form"))
+    right = signed(several, F.lit(True)).withColumnsRenamed({"node": "node2", "words": "words2"})
+    alike = signed(several, short).join(right, ["qual", "kind", "form"]).where("node <> node2")
+    alike = alike.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.when(F.col("node") < F.col("node2"), F.col("words")).otherwise(F.col("words2")).alias("x"), F.when(F.col("node") < F.col("node2"), F.col("words2")).otherwise(F.col("words")).alias("y"))
+    pairs = slip.unionByName(alike).groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    pairs = materialise(pairs.where(alignment_cost(F.col("x"), F.col("y")) <= 1))
+    # an initial stands for a word only where all names that it fits are one
+    asks = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("y").alias("x"), F.col("x").alias("y")))
+    asks = asks.where(F.exists("x", lambda w: (F.length(w) == 1) & ~F.array_contains("y", w)))
+    weight = asks.select(F.col("b").alias("node"), F.explode("y").alias("word")).distinct().join(known, "word").groupBy("node").agg(F.sum("names").alias("weight"))
+    asks = asks.join(weight.withColumnRenamed("node", "b"), "b")
+    main = asks.groupBy("a").agg(F.max(F.struct("weight", "y")).alias("m")).select("a", F.col("m.y").alias("main"))
+    doubt = asks.join(main, "a").where(alignment_cost(F.col("main"), F.col("y")) > 1).select("a").distinct()
+    unclear = asks.join(doubt, "a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(unclear, ["a", "b"], "left_anti").select("a", "b")
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): confirmed links between nodes (node, core, qual, kind) of `forms`."""
     full = nodes.where("kind <> 'initial'")
@@ -181,6 +248,8 @@ def links(nodes: DataFrame) -> DataFrame:
     cores = full.where(F.length("core") >= 6).select("node", "core", "qual", "kind", F.explode(deletes(F.col("core"))).alias("form"))
     right = cores.select(F.col("node").alias("node2"), F.col("core").alias("core2"), F.col("qual"), F.col("kind"), "form")
     core_slip = cores.join(right, ["qual", "kind", "form"]).where("node < node2").where(slips(F.col("core"), F.col("core2")) <= 1)
+    core_words = lambda c: F.size(F.split(c, " "))
+    core_slip = core_slip.where((core_words("core") == 1) | (core_words("core") != core_words("core2")))  # as many words: word_links
     core_slip = core_slip.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.array("core", "qual").alias("x"), F.array("core2", "qual").alias("y"))
     # one slip in the given name, the same core
     people = nodes.where("kind = 'person'")
@@ -205,7 +274,7 @@ def links(nodes: DataFrame) -> DataFrame:
     by_initial = initials.join(meant, ["core", "initial"]).select("a", "b", F.array("core", "initial").alias("x"), F.array("core", "qual2").alias("y"))
     candidates = core_slip.unionByName(given_slip).unionByName(by_pet).unionByName(by_initial)
     distinct = candidates.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    return distinct.where(alignment_cost(F.col("x"), F.col("y")) <= 1).select("a", "b")
+    return distinct.where(alignment_cost(F.col("x"), F.col("y")) <= 1).select("a", "b").unionByName(word_links(nodes))
 
 
 def variants(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFrame:

@@ -51,3 +51,24 @@ def test_deletes_find_every_slip(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", op.deletes(F.col("w")).alias("d"))
     forms = {r.w: set(r.d) for r in df.collect()}
     assert all(forms["tamsarovi"] & forms[w] for w in words)
+
+
+def linked(spark, values):
+    return {(r.value_a, r.value_b) for r in op.pairs(op.variants(spark.createDataFrame([(v,) for v in values], "artist string"), "artist")).collect()}
+
+
+def test_names_of_several_words(spark):
+    clusters = [
+        ["Maria Garcia Lopez", "Garcia Lopez Maria", "M. Garcia Lopez", "M. G. Lopez", "Maria Garcai Lopez"],
+        ["Bob van der Tamsar", "Robert van der Tamsar"],
+        ["Lena Kolbe Trio", "Kolbe Lena Trio", "L. Kolbe Trio"],
+        ["one two three four five six seven eight nine", "two one three four five six seven eigth nine"],
+    ]
+    alone = ["Maria Garcia", "Jon Perez Ruiz", "Jan Vidal Ruiz", "J. V. P. Ruiz", "A. Moreno Gil", "Ana Moreno Gil", "Alba Moreno Gil", "Velvet River Pt. 2", "Velvet River Pt. 3", "Lena Kolbe Quartet"]
+    want = {pair for c in clusters for pair in combinations(sorted(c), 2)}
+    assert linked(spark, [v for c in clusters for v in c] + alone) == want
+
+
+def test_established_words_are_no_slips(spark):
+    names = [f"{g} {x} Lopez" for g in ("Maria", "Mario") for x in ("Garcia", "Moreno", "Vidal")]
+    assert linked(spark, names) == set()
