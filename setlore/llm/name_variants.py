@@ -57,6 +57,8 @@ PET_FORMS = {
 OWN_RIGHT = {"margarethe": ("greta", "margot"), "theodora": ("theo",), "elisabeth": ("elsa", "ella"), "isabella": ("ella",), "william": ("liam",), "nikolai": ("nico",), "leonardo": ("leo",)}
 #: A given name is established beside another if it stands with at least this share of the other's surnames, and with three.
 ESTABLISHED = 0.25
+#: In cores of fewer letters one slip may well give another name, so evidence must not speak against it.
+SHORT = 6
 #: Words of so many letters or more are indexed by their outer thirds.
 LONG = 40
 #: Names of more words are found by their longest words instead of by all of them.
@@ -241,21 +243,44 @@ def word_links(nodes: DataFrame) -> DataFrame:
     return pairs.join(unclear, ["a", "b"], "left_anti").select("a", "b")
 
 
+def _by_evidence(pairs: DataFrame) -> DataFrame:
+    """The pairs (node, node2, core, core2, qual, kind, spread, spread2) of a core and its slip that the table does not tell apart.
+
+    spread: qualifiers that a core stands beside. Two short cores that both stand beside several are two names,
+    unless one of them is rare against the other. An act or a single word has no given name to vouch for it, so
+    a short one goes with the core near it of the greatest spread if that is one only, and with one of equal
+    spread only where this holds both ways.
+    """
+    short = F.least(F.length("core"), F.length("core2")) < SHORT
+    both = (F.least("spread", "spread2") >= 2) & (F.least("spread", "spread2") >= ESTABLISHED * F.greatest("spread", "spread2"))
+    pairs = materialise(pairs.where(~(short & both)).withColumn("lone", short & F.col("kind").isin("act", "other")).distinct())
+    lone = pairs.where("lone")
+    ends = lone.select("node", F.struct(F.col("spread2").alias("spread"), F.col("node2").alias("node")).alias("near")).unionByName(lone.select(F.col("node2").alias("node"), F.struct("spread", "node").alias("near")))
+    top = ends.groupBy("node", "near.spread").agg(F.count("*").alias("n"), F.first("near.node").alias("goes")).groupBy("node").agg(F.max(F.struct("spread", "n", "goes")).alias("top"))
+    goes = top.where("top.n = 1").select("node", F.col("top.goes").alias("goes"))
+    chosen = lone.join(goes, "node", "left").join(goes.select(F.col("node").alias("node2"), F.col("goes").alias("goes2")), "node2", "left")
+    there, back = F.coalesce(F.col("goes") == F.col("node2"), F.lit(False)), F.coalesce(F.col("goes2") == F.col("node"), F.lit(False))
+    chosen = chosen.where(F.when(F.col("spread") < F.col("spread2"), there).when(F.col("spread") > F.col("spread2"), back).otherwise(there & back))
+    return pairs.where("not lone").drop("lone").unionByName(chosen.drop("lone", "goes", "goes2"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): confirmed links between nodes (node, core, qual, kind) of `forms`."""
     full = nodes.where("kind <> 'initial'")
     # one slip in the core, the same qualifier
-    cores = full.where(F.length("core") >= 6).select("node", "core", "qual", "kind", F.explode(deletes(F.col("core"))).alias("form"))
-    right = cores.select(F.col("node").alias("node2"), F.col("core").alias("core2"), F.col("qual"), F.col("kind"), "form")
+    spread = full.groupBy("core", "kind").agg(F.count("*").alias("spread"))
+    cores = full.join(spread, ["core", "kind"]).select("node", "core", "qual", "kind", "spread", F.explode(deletes(F.col("core"))).alias("form"))
+    right = cores.select(F.col("node").alias("node2"), F.col("core").alias("core2"), F.col("spread").alias("spread2"), F.col("qual"), F.col("kind"), "form")
     core_slip = cores.join(right, ["qual", "kind", "form"]).where("node < node2").where(slips(F.col("core"), F.col("core2")) <= 1)
     core_words = lambda c: F.size(F.split(c, " "))
     core_slip = core_slip.where((core_words("core") == 1) | (core_words("core") != core_words("core2")))  # as many words: word_links
+    core_slip = _by_evidence(core_slip.where(alignment_cost(F.array("core"), F.array("core2")) <= 1).drop("form"))
     core_slip = core_slip.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.array("core", "qual").alias("x"), F.array("core2", "qual").alias("y"))
     # one slip in the given name, the same core
     people = nodes.where("kind = 'person'")
     share = people.groupBy("qual").agg(F.count("*").alias("people"))
     known = people.join(share, "qual")
-    givens = known.where(F.length("qual") >= 3).select("node", "core", "qual", "people", F.explode(deletes(F.col("qual"))).alias("form"))
+    givens = known.select("node", "core", "qual", "people", F.explode(deletes(F.col("qual"))).alias("form"))
     right = givens.select(F.col("node").alias("node2"), "core", F.col("qual").alias("qual2"), F.col("people").alias("people2"), "form")
     both = (F.least("people", "people2") >= 3) & (F.least("people", "people2") >= ESTABLISHED * F.greatest("people", "people2"))
     given_slip = givens.join(right, ["core", "form"]).where("node < node2").where(~both & (slips(F.col("qual"), F.col("qual2")) <= 1))
@@ -274,7 +299,7 @@ def links(nodes: DataFrame) -> DataFrame:
     by_initial = initials.join(meant, ["core", "initial"]).select("a", "b", F.array("core", "initial").alias("x"), F.array("core", "qual2").alias("y"))
     candidates = core_slip.unionByName(given_slip).unionByName(by_pet).unionByName(by_initial)
     distinct = candidates.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    return distinct.where(alignment_cost(F.col("x"), F.col("y")) <= 1).select("a", "b").unionByName(word_links(nodes))
+    return materialise(distinct.where(alignment_cost(F.col("x"), F.col("y")) <= 1).select("a", "b").unionByName(word_links(nodes)))
 
 
 def variants(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFrame:
@@ -284,7 +309,8 @@ def variants(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFram
     that hold unusual characters. Values that differ in layout only have one key. Repeated rows count once.
     Two keys share an entity if a chain of confirmed links joins them: a slip in one word, words in another
     order, an initial that only one given name of the surname fits, a pet or unaccented form, another form
-    of the kind of act, 'The' before it. Other numbers, kinds and given names do not link.
+    of the kind of act, 'The' before it. A slip in a short word counts unless both spellings are names of their
+    own by what they stand beside (`_by_evidence`). Other numbers, kinds and given names do not link.
     An empty table gives an empty table; texts are read whole; columns that are not named are not read.
     """
     names = materialise(single_names(df, column, grammar).withColumn("key", letters_and_digits(F.col("name"))))

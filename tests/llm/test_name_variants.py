@@ -72,3 +72,15 @@ def test_names_of_several_words(spark):
 def test_established_words_are_no_slips(spark):
     names = [f"{g} {x} Lopez" for g in ("Maria", "Mario") for x in ("Garcia", "Moreno", "Vidal")]
     assert linked(spark, names) == set()
+
+
+def test_slips_in_short_words(spark):
+    clusters = [["John Smith", "John Smyth"], ["Lena Braun", "Lena Brun"], ["Odin Trio", "Odn Trio"], ["Moby", "Mobby"], ["Jo Tamsarovi", "Joe Tamsarovi"]]
+    alone = ["X Quartet", "Y Quartet", "Zorn", "Zorb", "Sorb", "Anna Kline"]
+    assert linked(spark, [v for c in clusters for v in c] + alone) == {tuple(sorted(c)) for c in clusters}
+
+
+def test_established_short_words_are_two_names(spark):
+    apart = [f"{g} {x}" for g in ("Lena", "Robert", "Otto") for x in ("Meier", "Meyer")] + [f"{x} {k}" for x in ("Ada", "Ida") for k in ("Trio", "Quartet")]
+    slip = [f"{g} Braun" for g in ("Lena", "Robert", "Otto", "Zeno")] + ["Lena Brun"]
+    assert linked(spark, FILL + apart + slip) == {("Lena Braun", "Lena Brun")}
