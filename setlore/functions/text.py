@@ -1,11 +1,14 @@
-"""String functions of the library: folding, titles, versions, artists, genres, comments. All in the JVM."""
+"""String functions of the library: folding, titles, versions, artists, genres, comments. All in the JVM but `nfkd`."""
 
 from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 # Words that mark a version of a title, two-word ones first.
 VERSION_PAIRS = ("original mix", "extended mix", "radio edit", "club mix", "dub mix", "a cappella")
@@ -54,9 +57,17 @@ def fold(text: Column) -> Column:
     return strip_accents(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def words(text: Column) -> Column:
-    """Matching form: lower case letters a-z and digits, one blank between words. Null gives ''."""
-    return F.trim(F.regexp_replace(fold(text), r"[^a-z0-9]+", " "))
+@arrow_udf(StringType())
+def nfkd(text: pa.Array) -> pa.Array:
+    """Compatibility decomposition without combining marks: full-width letters, ligatures and the like become plain ones."""
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    return pa.array([x if x is None or x.isascii() else plain(x) for x in text.to_pylist()], pa.string())
+
+
+def words(text: Column, compat: bool = False) -> Column:
+    """Matching form: lower case letters a-z and digits, one blank between words. Null gives ''. compat: by NFKD."""
+    folded = F.lower(nfkd(F.coalesce(text, F.lit("")))) if compat else fold(text)
+    return F.trim(F.regexp_replace(folded, r"[^a-z0-9]+", " "))
 
 
 def norm_text(text: Column) -> Column:
@@ -64,19 +75,19 @@ def norm_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fold(text), r"[&+]", " and "), r"[^a-z0-9]+", " "))
 
 
-def base_title(title: Column) -> Column:
-    """The song without brackets, featured artists and trailing version words; the whole title if nothing is left."""
-    bare = words(F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"[(\[{][^)\]}]*[)\]}]", " "), r"(?is)\b(feat|ft|featuring|with)\.?\s+.*$", " "))
+def base_title(title: Column, compat: bool = False) -> Column:
+    """The song without brackets, featured artists and trailing version words; the whole title if nothing is left. compat: by NFKD."""
+    bare = words(F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"[(\[{][^)\]}]*[)\]}]", " "), r"(?is)\b(feat|ft|featuring|with)\.?\s+.*$", " "), compat)
     pairs = F.trim(F.regexp_replace(bare, rf"(?:(?:^|\s)(?:{'|'.join(VERSION_PAIRS)}))+$", ""))
     singles = F.trim(F.regexp_replace(pairs, rf"(?:(?:^|\s)(?:{'|'.join(VERSION_WORDS)}))+$", ""))
     return F.when(singles == "", bare).otherwise(singles)
 
 
-def version_of(title: Column) -> Column:
-    """The longest version word inside brackets, '' if there is none; of equal length the first by name."""
-    inside = words(F.array_join(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"[(\[{][^)\]}]*[)\]}]"), F.lit(0)), " "))
+def version_of(title: Column, compat: bool = False) -> Column:
+    """The longest version word inside brackets, '' if there is none; of equal length the first by name. compat: by NFKD."""
+    inside = words(F.array_join(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"[(\[{][^)\]}]*[)\]}]"), F.lit(0)), " "), compat)
     listed = sorted((*VERSION_PAIRS, *VERSION_WORDS), key=lambda w: (-len(w), w))
-    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, listed)), lambda w: F.instr(inside, w) > 0), F.lit(0)), F.lit(""))
+    return F.coalesce(*[F.when(F.instr(inside, w) > 0, w) for w in listed], F.lit(""))
 
 
 def split_title(title: Column) -> tuple[Column, Column]:

@@ -39,9 +39,9 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
 
 
 def token_jaccard_match(s: SparkSession, d: str) -> DataFrame:
-    """Titles that share at least half of their words with an asked one."""
-    left = op.prepared(_asked(s, d), "title", "artist").select("aid", F.col("base_words").alias("a"))
-    right = op.prepared(load(s, d, "track").select("id", "title", "artist"), "title", "artist").select("id", F.col("base_words").alias("b"))
+    """Titles that share at least half of their words with an asked one (F31, F32); its SQL undoes canonical accents only."""
+    left = op.prepared(_asked(s, d), "title", "artist", compat=False).select("aid", F.col("base_words").alias("a"))
+    right = op.prepared(load(s, d, "track").select("id", "title", "artist"), "title", "artist", compat=False).select("id", F.col("base_words").alias("b"))
     pairs = left.select("aid", F.explode("a").alias("w")).join(right.select("id", F.explode("b").alias("w")), "w").groupBy("aid", "id").agg(F.count("*").alias("common"))
     scored = pairs.join(left, "aid").join(right, "id").select("aid", "id", op.jaccard(F.col("a"), F.col("b")).alias("jaccard"), op.containment(F.col("a"), F.col("b")).alias("containment"))
     return scored.where((F.col("jaccard") >= 0.5) & (F.col("aid") != F.col("id"))).withColumns({"jaccard": F.round("jaccard", 6), "containment": F.round("containment", 6)})

@@ -154,3 +154,11 @@ def test_bands_and_devices_on_empty_tables(spark):
 def test_tree_paths_end_on_cycles(spark):
     nodes = spark.createDataFrame([("r", "Root", None), ("a", "A", "r"), ("b", "B", "a"), ("x", "X", "y"), ("y", "Y", "x")], "id string, name string, parent_id string")
     assert {(r.id, r.path) for r in library.tree_paths(nodes).collect()} == {("r", "Root"), ("a", "Root / A"), ("b", "Root / A / B")}
+
+
+def test_matching_folds_compatibility_letters(spark):
+    wide = "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in "Broken River")
+    library = spark.createDataFrame([("1", wide, "Ada Moon", ["House"]), ("2", "Oﬃce Fire", "Zeno", ["House"])], "id string, title string, artist string, genres array<string>")
+    asked = spark.createDataFrame([("a", "Broken River", "Ada Moon"), ("b", "Office Fire", "Zeno")], "aid string, title string, artist string")
+    assert {(r.aid, r.id, r.score) for r in matching.blocked_matches(asked, library).collect()} == {("a", "1", 1.0), ("b", "2", 1.0)}
+    assert [(r.id, r.exact) for r in matching.search(library, "broken river").collect()] == [("1", True)]
