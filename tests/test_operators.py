@@ -162,3 +162,9 @@ def test_matching_folds_compatibility_letters(spark):
     asked = spark.createDataFrame([("a", "Broken River", "Ada Moon"), ("b", "Office Fire", "Zeno")], "aid string, title string, artist string")
     assert {(r.aid, r.id, r.score) for r in matching.blocked_matches(asked, library).collect()} == {("a", "1", 1.0), ("b", "2", 1.0)}
     assert [(r.id, r.exact) for r in matching.search(library, "broken river").collect()] == [("1", True)]
+
+
+def test_words_in_brackets_and_live_block(spark):
+    library = spark.createDataFrame([("1", "Midnight (Quasar Remix)", None), ("2", "Live", None), ("3", "For", None)], "id string, title string, artist string")
+    asked = spark.createDataFrame([("a", "Midnigth (Quasar Remix)", None), ("b", "Live", None), ("c", "For", None)], "aid string, title string, artist string")
+    assert {(r.aid, r.id) for r in matching.blocked_matches(asked, library).collect()} == {("a", "1"), ("b", "2"), ("c", "3")}
