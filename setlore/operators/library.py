@@ -69,14 +69,14 @@ def view(track: DataFrame) -> DataFrame:
 
 
 def tree_paths(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, path, depth): names from the root joined by ' / '. A recursive query, no deeper than `depth`, so a cycle ends."""
+    """(id, path, depth): names from the root joined by ' / '. A recursive query; it fails on nodes deeper than `depth`, so a cycle ends."""
     nodes.createOrReplaceTempView("setlore_nodes")
     return nodes.sparkSession.sql(f"""
         WITH RECURSIVE walk(id, path, depth) AS (
             SELECT id, name, 0 FROM setlore_nodes WHERE parent_id IS NULL
             UNION ALL
-            SELECT n.id, concat(w.path, ' / ', n.name), w.depth + 1 FROM setlore_nodes n JOIN walk w ON n.parent_id = w.id WHERE w.depth < {depth})
-        SELECT id, path, depth FROM walk""")
+            SELECT n.id, concat(w.path, ' / ', n.name), w.depth + 1 FROM setlore_nodes n JOIN walk w ON n.parent_id = w.id WHERE w.depth <= {depth})
+        SELECT id, path, depth FROM walk WHERE if(depth > {depth}, CAST(raise_error('the tree is deeper than {depth} levels') AS BOOLEAN), true)""")
 
 
 def tally(df: DataFrame, key: Column, name: str) -> DataFrame:

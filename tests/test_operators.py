@@ -168,3 +168,10 @@ def test_words_in_brackets_and_live_block(spark):
     library = spark.createDataFrame([("1", "Midnight (Quasar Remix)", None), ("2", "Live", None), ("3", "For", None)], "id string, title string, artist string")
     asked = spark.createDataFrame([("a", "Midnigth (Quasar Remix)", None), ("b", "Live", None), ("c", "For", None)], "aid string, title string, artist string")
     assert {(r.aid, r.id) for r in matching.blocked_matches(asked, library).collect()} == {("a", "1"), ("b", "2"), ("c", "3")}
+
+
+def test_tree_paths_drop_no_level(spark):
+    chain = spark.createDataFrame([(str(i), f"N{i}", str(i - 1) if i else None) for i in range(6)], "id string, name string, parent_id string")
+    assert library.tree_paths(chain, depth=5).count() == 6
+    with pytest.raises(Exception, match="deeper than 4 levels"):
+        library.tree_paths(chain, depth=4).count()
