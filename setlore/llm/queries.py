@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setlore.llm import canonical_list, cooccurrence, languages, layout_duplicates, mixture, name_variants, survivor, tokenizer, unicode_form
@@ -37,27 +37,46 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("value_a").alias("artist_a"), F.col("value_b").alias("artist_b"))
 
 
-def _measured(spark: SparkSession, folder: str) -> DataFrame:
-    """Tracks with the key of their recording and the measurements of their file; of repeated probe rows one counts."""
-    probe = load(spark, folder, "probe").where("path is not null").groupBy("path").agg(F.max(F.struct("exists", "lossless", "bitrate", "size", "duration")).alias("m")).select("path", "m.*")
-    track = load(spark, folder, "track")
-    keyed = layout_duplicates.with_layout_key(track, "id", ["title", "artist"], keep=["path", "mytags", "comment"])
-    return keyed.join(probe, "path", "left")
+def _copies(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, key, file, tags, comment) of every track: digests of the recording's key and of the path, the number of tags and of letters of the comment."""
+    tags = F.size(F.array_distinct(F.filter(F.transform("mytags", lambda t: t["id"]), lambda t: t.isNotNull())))
+    comment = F.length(F.regexp_replace(F.coalesce("comment", F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    keyed = layout_duplicates.with_layout_key(load(spark, folder, "track"), "id", ["title", "artist"], keep=["path", "mytags", "comment"])
+    return keyed.select("id", survivor.digest(F.col("key")).alias("key"), survivor.digest(F.col("path")).alias("file"), tags.alias("tags"), comment.alias("comment"))
+
+
+def _bitrate() -> Column:
+    return F.coalesce(F.col("bitrate").cast("double"), F.try_divide(F.col("size") * 8.0, F.col("duration")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _measured(spark, folder)
-    bitrate = F.coalesce(F.col("bitrate").cast("double"), F.try_divide(F.col("size") * 8.0, F.col("duration")))
-    tags = F.size(F.array_distinct(F.filter(F.transform("mytags", lambda t: t["id"]), lambda t: t.isNotNull())))
-    comment = F.length(F.regexp_replace(F.coalesce("comment", F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    there = load(spark, folder, "probe").where("exists and path is not null").select(survivor.digest(F.col("path")).alias("file"), F.coalesce("lossless", F.lit(False)).alias("lossless"), _bitrate().alias("rate"))
+    # of repeated probe rows the best lossless one, else the best one
+    files = there.groupBy("file").agg(F.max(F.col("lossless").cast("int")).alias("lossless"), F.max(F.when(F.col("lossless"), F.col("rate"))).alias("full"), F.max("rate").alias("rate"))
+    files = files.select("file", "lossless", F.when(F.col("lossless") == 1, F.col("full")).otherwise(F.col("rate")).alias("rate"))
+    rows = _copies(spark, folder).join(files, "file", "left")
     bundles = [
-        survivor.Bundle("audio", F.col("exists"), (F.coalesce("lossless", F.lit(False)).cast("double"), bitrate)),
-        survivor.Bundle("mytags", tags > 0, (tags,)),
-        survivor.Bundle("comment", comment > 0, (comment,)),
+        survivor.Bundle("audio", F.col("lossless").isNotNull(), (F.col("lossless"), F.col("rate"))),
+        survivor.Bundle("mytags", F.col("tags") > 0, (F.col("tags"),)),
+        survivor.Bundle("comment", F.col("comment") > 0, (F.col("comment"),)),
     ]
     return survivor.survivors(rows, F.col("key"), "id", bundles)
 
 
+def p4_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """The best format, sample rate and bitrate of every recording such that format and rate, and format and bitrate, stand together in some copy whose file exists."""
+    columns = (F.coalesce("codec", F.lit("")).alias("codec"), F.coalesce("lossless", F.lit(False)).alias("lossless"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("rate", F.lit(0)).alias("rate"), F.floor(F.coalesce(_bitrate(), F.lit(0.0))).alias("bitrate"))
+    there = load(spark, folder, "probe").where("exists and path is not null").select(survivor.digest(F.col("path")).alias("file"), F.struct(*columns).alias("m"))
+    rows = _copies(spark, folder).select("id", "key", "file").join(there.groupBy("file").agg(F.max("m").alias("m")), "file", "left").select("id", "key", "m.*")
+    have = F.col("codec").isNotNull()
+    bundles = [
+        survivor.Bundle("format", have, (F.col("lossless"), F.col("depth")), {"codec": F.col("codec")}),
+        survivor.Bundle("rate", have, (F.col("rate"),), {"rate": F.col("rate")}),
+        survivor.Bundle("bitrate", have, (F.col("bitrate"),), {"bitrate": F.col("bitrate")}),
+    ]
+    return survivor.survivors(materialise(rows), F.col("key"), "id", bundles, [("format", "codec", "rate", "rate"), ("format", "codec", "bitrate", "bitrate")])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     genre = load(spark, folder, "genre_ref").select(F.col("genre_id").alias("entry"), "name")
     key = load(spark, folder, "key_ref").select(F.col("key_id").alias("entry"), "camelot", "scale_name")
@@ -142,9 +161,23 @@ P4_SQL = P7_KEYS + f""",
     UNION ALL SELECT group_id, 'comment', id FROM copy WHERE chars > 0 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY chars DESC, id) = 1
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_documents": p10_documents, "p1_found": p1_found, "p1_lift": p1_lift, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_copies": p7_copies}
+P4_BUNDLES = P7_KEYS + """,
+    member AS (SELECT *, min(id) OVER (PARTITION BY k1, k2) AS group_id, count(*) OVER (PARTITION BY k1, k2) AS n FROM keyed),
+    file AS (SELECT path, max({'codec': coalesce(codec, ''), 'lossless': coalesce(lossless, false), 'depth': coalesce(depth, 0), 'rate': coalesce(rate, 0), 'bitrate': floor(coalesce(bitrate, size * 8.0 / nullif(duration, 0), 0))}) AS m FROM probe WHERE "exists" GROUP BY path),
+    copy AS (SELECT m.group_id, t.id, f.m.codec AS codec, f.m.lossless AS lossless, f.m.depth AS depth, f.m.rate AS rate, f.m.bitrate AS bitrate FROM member m JOIN track t ON t.id = m.id JOIN file f ON f.path = t.path WHERE m.n > 1),
+    f AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY lossless DESC, depth DESC, id) AS r FROM (SELECT * FROM copy QUALIFY row_number() OVER (PARTITION BY group_id, codec ORDER BY lossless DESC, depth DESC, id) = 1)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY rate DESC, id) AS r FROM (SELECT * FROM copy QUALIFY row_number() OVER (PARTITION BY group_id, rate ORDER BY id) = 1)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY bitrate DESC, id) AS r FROM (SELECT * FROM copy QUALIFY row_number() OVER (PARTITION BY group_id, bitrate ORDER BY id) = 1)),
+    choice AS (SELECT f.group_id, f.id AS fid, s.id AS sid, b.id AS bid FROM f JOIN s USING (group_id) JOIN b USING (group_id)
+        WHERE EXISTS (SELECT 1 FROM copy c WHERE c.group_id = f.group_id AND c.codec = f.codec AND c.rate = s.rate) AND EXISTS (SELECT 1 FROM copy c WHERE c.group_id = f.group_id AND c.codec = f.codec AND c.bitrate = b.bitrate)
+        QUALIFY row_number() OVER (PARTITION BY f.group_id ORDER BY f.r + s.r + b.r, f.r, s.r, b.r) = 1)
+    SELECT group_id, 'format' AS field, fid AS id FROM choice UNION ALL SELECT group_id, 'rate', sid FROM choice UNION ALL SELECT group_id, 'bitrate', bid FROM choice
+"""
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_bundles": p4_bundles, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_documents": p10_documents, "p1_found": p1_found, "p1_lift": p1_lift, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_copies": p7_copies}
 ORACLES = {
     "p4_found": P4_SQL,
+    "p4_bundles": P4_BUNDLES,
     "p1_found": P1_COUNTS + "SELECT item_a AS tag_a, item_b AS tag_b FROM counted WHERE n_ab >= 5 AND 500 * n_ab >= n AND 2 * n_ab::HUGEINT * n >= 5 * n_a::HUGEINT * n_b",
     "p1_lift": P1_COUNTS + "SELECT item_a, item_b, n_ab, n_a, n_b, n, round(n_ab * n::DOUBLE / (n_a::DOUBLE * n_b), 6) AS lift FROM counted",
     "p7_found": P7_KEYS + "SELECT a.id AS id_a, b.id AS id_b FROM keyed a JOIN keyed b ON a.k1 = b.k1 AND a.k2 = b.k2 AND a.id < b.id",

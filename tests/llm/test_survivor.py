@@ -48,3 +48,25 @@ def test_dependencies_hold(spark):
     bound = {r.field: r.id for r in survivors(df, F.col("g"), "id", bundles, [("city", "city", "land", "land")]).collect()}
     assert free == {"city": "1", "land": "3"}
     assert bound == {"city": "1", "land": "2"}
+
+
+def test_only_broken_groups_are_searched_and_all_are_right(spark):
+    rng = random.Random(8)
+    rows = [(f"g{g}", f"{g:02}{i}", rng.choice("xyz"), rng.randrange(4), rng.randrange(9), rng.randrange(9)) for g in range(25) for i in range(rng.randrange(1, 7))]
+    df = spark.createDataFrame(rows, "g string, id string, a string, b int, ta int, tb int")
+    bundles = [Bundle("a", F.lit(True), (F.col("ta"),), {"a": F.col("a")}), Bundle("b", F.col("tb") > 0, (F.col("tb"), F.col("ta")), {"b": F.col("b")})]
+    got = {}
+    for r in survivors(df, F.col("g"), "id", bundles, [("a", "a", "b", "b")]).collect():
+        got.setdefault(r.group_id, {})[r.field] = r.id
+    for g in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == g]
+        if len(mine) < 2:
+            continue
+        some = {"a": {}, "b": {}}
+        for r in sorted(mine, key=lambda r: (-r[4], r[1])):
+            some["a"].setdefault(r[2], (r[1], {"a": r[2]}))
+        for r in sorted((r for r in mine if r[5] > 0), key=lambda r: (-r[5], -r[4], r[1])):
+            some["b"].setdefault(r[3], (r[1], {"b": r[3]}))
+        lists = {k: list(v.values()) for k, v in some.items() if v}
+        pairs = {(r[2], r[3]) for r in mine if r[5] > 0}
+        assert got[min(r[1] for r in mine)] == branch_and_bound(lists, [("a", "a", "b", "b")], [pairs])
