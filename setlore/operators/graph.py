@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 from setlore.session import materialise
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node with an edge is connected to.
 
     Smallest labels travel along the edges and by pointer jumping; each round is written to the shared
-    folder, and the rounds end when nothing changes. No link ever leaves the executors.
+    folder, and the rounds end when nothing changes, which labels that only fall must reach. No link ever
+    leaves the executors.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("heard")).withColumnRenamed("a", "node")
         step = labels.join(heard, "node").select("node", "comp", F.least("comp", "heard").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("root"))
         moved = materialise(step.join(jump, "low", "left").select("node", F.col("comp").alias("old"), F.least("low", F.coalesce("root", "low")).alias("comp")))
-        changed = moved.where("comp <> old").limit(1).count()
         labels = moved.select("node", "comp")
-        if not changed:
+        if moved.where("comp <> old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle within {rounds} rounds")

@@ -93,13 +93,14 @@ class Parser:
         self.blank = re.compile(f"[{BLANKS}]*")
         self.outer = re.compile(f"^[{BLANKS}]+|[{BLANKS}]+$")
         self.plain = re.compile(r'["(\[{]')
-        self.known: set[str] = set()
+        self.known: dict[int, set[str]] = {}  # by length: a slip changes it by one
         self.turned: set[str] = set()
         self.spans = 1
         for name in grammar.names:
             pieces = [p for p in self.gap.split(name) if p and p.strip()]
             if len(pieces) > 1:
-                self.known.add(name_key(name))
+                key = name_key(name)
+                self.known.setdefault(len(key), set()).add(key)
                 self.spans = max(self.spans, len(pieces))
             words = name.split()
             if len(words) == 2 and all(w.isalpha() for w in words):
@@ -112,9 +113,11 @@ class Parser:
         if pieces == 2 and re.sub(r"\s+", "", text.casefold()) in self.turned:
             return True
         key = name_key(text)
-        for name in self.known:  # a slip may have eaten a separator, so the number of pieces does not decide
-            slips = 0 if len(name) < 6 else 1 if len(name) < 12 else 2
-            if abs(len(name) - len(key)) <= slips and osa_within(key, name, slips):
+        if key in self.known.get(len(key), ()):
+            return True
+        for length in range(len(key) - 2, len(key) + 3):  # a slip may have eaten a separator, so the number of pieces does not decide
+            slips = 0 if length < 6 else 1 if length < 12 else 2
+            if abs(length - len(key)) <= slips and any(osa_within(key, name, slips) for name in self.known.get(length, ())):
                 return True
         return False
 
@@ -191,12 +194,12 @@ def may_hold_several(text: Column, grammar: Grammar) -> Column:
 OUT = "id string, field string, pos int, value string, quoted boolean, malformed boolean"
 
 
-def split_values(df: DataFrame, id_col: str, grammars: dict[str, Grammar], several_only: bool = False) -> DataFrame:
+def split_values(df: DataFrame, id_col: str, grammars: dict[str, Grammar], several_only: bool = False, single_only: bool = False) -> DataFrame:
     """One row a value of every named field: id, field, pos, value, quoted, malformed.
 
     grammars: the Grammar of each field; the field's name is the column's name. several_only: only
-    fields that hold two or more values. No shuffle: the strings are parsed where they are read,
-    each distinct string once a batch.
+    fields that hold two or more values; single_only: only those that hold one. No shuffle: the strings
+    are parsed where they are read, each distinct string once a batch.
 
     Null, empty, blank and separator-only fields give no row. Repeated values stay, each with its
     position; repeated rows stay too. Texts of any length are read whole, in linear time. An empty
@@ -210,7 +213,7 @@ def split_values(df: DataFrame, id_col: str, grammars: dict[str, Grammar], sever
     for name, grammar in grammars.items():
         hit = may_hold_several(F.col("text"), grammar) if several_only else F.length(F.trim("text")) > 0
         wanted = wanted | ((F.col("field") == name) & hit)
-    least = 2 if several_only else 1
+    least, most = 2 if several_only else 1, 1 if single_only else float("inf")
     schema = pa.schema([("id", pa.string()), ("field", pa.string()), ("pos", pa.int32()), ("value", pa.string()), ("quoted", pa.bool_()), ("malformed", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -221,7 +224,7 @@ def split_values(df: DataFrame, id_col: str, grammars: dict[str, Grammar], sever
             for key, name, text in zip(batch["id"].to_pylist(), batch["field"].to_pylist(), batch["text"].to_pylist()):
                 if (found := cache.get((name, text))) is None:
                     found = cache[name, text] = parsers[name].parse(text)
-                if len(found) >= least:
+                if least <= len(found) <= most:
                     for v in found:
                         ids.append(key)
                         names.append(name)
