@@ -1,28 +1,32 @@
 """Variant spellings of names typed by people.
 
-Values that differ in layout only share one key. Each key is read as a core (the word that tells the
-name from others: a surname, an act's own name) and a qualifier (a given name or its initial, the kind of
-act, a number). Small edit distances are found by a symmetric-delete neighbourhood index: words that
-differ by one slip share a form that both reach by deleting at most one letter, so an equi-join on these
-forms finds every candidate. Names of several telling words are candidates in any order if all words but the
-slipped one agree, or all but those that initials and pet forms stand for. Candidates are confirmed by
-the best assignment of their tokens, which permits initials, pet forms and one slip. Links between keys
+Values that differ in layout only share one key. A key is read as its words: lower case, without accents,
+kinds of act and pet forms put to their full form, in no order. Small edit distances are found by a
+symmetric-delete neighbourhood index over every word of every name: two names one slip apart agree in all
+words but one, and those two words share a form that both reach by deleting at most one letter, so an
+equi-join on (other words, form) meets every such pair and hardly another. Initials and abbreviations are
+met by (first letters of all words, one whole word). Every candidate is confirmed by the assignment of
+least cost between the two whole lists of words, and by what the table says about the two spellings. Links
 are closed to components.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import combinations, permutations, product
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import product
+import re
+import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+import xxhash
 
 from setlore.functions.distance import osa_distance
-from setlore.llm.canonical_list import fold_accents, slips
 from setlore.llm.layout_duplicates import letters_and_digits
 from setlore.llm.unicode_form import clean_text
 from setlore.operators.graph import components
@@ -45,261 +49,307 @@ KINDS = {
 }
 # Given names and their short and pet forms.
 PET_FORMS = {
-    "alexander": ("alex", "sasha", "xander", "alec", "sandy", "lex"), "antonia": ("toni", "tonia", "nia", "antonie"), "bastien": ("basti", "bas"), "benjamin": ("ben", "benny", "benni", "benji"),
-    "christopher": ("chris", "topher", "kit", "christo"), "elisabeth": ("lisa", "betty", "liz", "elisa", "beth", "lisbeth", "lizzy", "bess"), "francisco": ("paco", "fran", "pancho", "cisco", "kiko", "frank"),
-    "frederick": ("fred", "freddy", "freddie", "fredi", "rick"), "gabriela": ("gabi", "gaby", "ela"), "isabella": ("bella", "isa", "izzy", "belle"), "jonathan": ("jon", "jonny", "johnny", "nathan", "jonas"),
-    "jose": ("pepe", "chepe", "josele"), "josephine": ("josie", "jo", "fina", "josy", "sephine", "posy"), "katharina": ("kat", "kathi", "kate", "katja", "kathy", "rina", "katha", "kati", "trina"), "margarethe": ("maggie", "grete", "marga", "gretel", "meg"),
-    "maximilian": ("max", "maxi", "milian"), "michael": ("mike", "mick", "micky", "michi", "mickey", "misha"), "nikolai": ("niko", "nik", "kolya", "nick", "nico"), "rebecca": ("becky", "becca", "becki", "reba"), "robert": ("bob", "bobby", "rob", "robbie", "robby", "bert", "bobbie"),
-    "samuel": ("sam", "sammy", "sami"), "sebastian": ("seb", "basti", "bastian", "sebi", "wastl", "bas"), "tamara": ("tama", "mara", "tammy", "toma"), "theodora": ("dora", "thea", "teddy"), "valentina": ("tina", "val", "vale", "valen", "valya"),
-    "victoria": ("vicky", "vicki", "tori", "vic", "vika", "toria"), "william": ("will", "bill", "billy", "willy", "liam", "willi", "wim"), "nadja": ("nadia",), "giulia": ("giuli", "giu"), "leonardo": ("leo",),
+    "alexander": ("alex", "sasha", "xander", "alec", "sandy", "lex"), "andrew": ("andy", "drew"), "anthony": ("tony",), "antonia": ("toni", "tonia", "nia", "antonie"), "bastien": ("basti", "bas"),
+    "benjamin": ("ben", "benny", "benni", "benji"), "catherine": ("cathy", "cath"), "charles": ("charlie", "chuck"), "christopher": ("chris", "topher", "kit", "christo"), "daniel": ("danny", "dani"), "david": ("dave", "davy"),
+    "deborah": ("debbie", "deb"), "edward": ("ed", "eddie", "ned"), "elisabeth": ("lisa", "betty", "liz", "elisa", "beth", "lisbeth", "lizzy", "bess"), "francisco": ("paco", "fran", "pancho", "cisco", "kiko", "frank"),
+    "frederick": ("fred", "freddy", "freddie", "fredi", "rick"), "gabriela": ("gabi", "gaby", "ela"), "gregory": ("greg",), "isabella": ("bella", "isa", "izzy", "belle"), "james": ("jim", "jimmy", "jamie"),
+    "jennifer": ("jenny", "jen"), "jonathan": ("jon", "jonny", "johnny", "nathan", "jonas"), "jose": ("pepe", "chepe", "josele"), "joseph": ("joe", "joey"), "josephine": ("josie", "jo", "fina", "josy", "sephine", "posy"),
+    "joshua": ("josh",), "katharina": ("kat", "kathi", "kate", "katja", "kathy", "rina", "katha", "kati", "trina"), "kenneth": ("ken", "kenny"), "lawrence": ("larry",), "margarethe": ("maggie", "grete", "marga", "gretel", "meg"),
+    "matthew": ("matt", "matty"), "maximilian": ("max", "maxi", "milian"), "michael": ("mike", "mick", "micky", "michi", "mickey", "misha"), "nikolai": ("niko", "nik", "kolya", "nick", "nico"), "patricia": ("patty", "trish"),
+    "rebecca": ("becky", "becca", "becki", "reba"), "richard": ("dick", "ricky", "rich"), "robert": ("bob", "bobby", "rob", "robbie", "robby", "bert", "bobbie"), "ronald": ("ron", "ronnie"), "samuel": ("sam", "sammy", "sami"),
+    "sebastian": ("seb", "basti", "bastian", "sebi", "wastl", "bas"), "stephen": ("steve", "stevie"), "susan": ("sue", "susie"), "tamara": ("tama", "mara", "tammy", "toma"), "theodora": ("dora", "thea", "teddy"),
+    "thomas": ("tom", "tommy"), "timothy": ("tim", "timmy"), "valentina": ("tina", "val", "vale", "valen", "valya"), "victoria": ("vicky", "vicki", "tori", "vic", "vika", "toria"),
+    "william": ("will", "bill", "billy", "willy", "liam", "willi", "wim"), "nadja": ("nadia",), "giulia": ("giuli", "giu"), "leonardo": ("leo",), "zachary": ("zach", "zack"),
 }
 # Pet forms that are given names in their own right; they stand for the full name only beside it.
 OWN_RIGHT = {"margarethe": ("greta", "margot"), "theodora": ("theo",), "elisabeth": ("elsa", "ella"), "isabella": ("ella",), "william": ("liam",), "nikolai": ("nico",), "leonardo": ("leo",)}
-#: A given name is established beside another if it stands with at least this share of the other's surnames, and with three.
-ESTABLISHED = 0.25
-#: In cores of fewer letters one slip may well give another name, so evidence must not speak against it.
+#: Two spellings are words of their own if both stand in at least this many names, the rarer in this share of the commoner's.
+OWN_NAMES, OWN_SHARE = 3, 0.25
+#: In words of fewer letters one slip may well give another word, so two names of each and the share are enough, and a doubtful one links to none.
 SHORT = 6
-#: Words of so many letters or more are indexed by their outer thirds.
-LONG = 40
-#: Names of more words are found by their longest words instead of by all of them.
-FEW = 8
+#: In names with more words that are pet forms each of them stands for its first full name only.
+PETS_AT_ONCE = 4
 #: Values in one cell of the join that lists pairs.
 CELL = 512
 
+_KIND = {short: kind for kind, some in KINDS.items() for short in (kind, *some)}
+_FULL: dict[str, list[str]] = {}
+_OWN: dict[str, list[str]] = {}
+for _table, _of in ((PET_FORMS, _FULL), (OWN_RIGHT, _OWN)):
+    for _full, _some in _table.items():
+        for _pet in _some:
+            _of.setdefault(_pet, []).append(_full)
 
-def alignment(a: list[str], b: list[str]) -> float:
-    """The cost of the best assignment of two token lists: equal 0, pet form 0.25, initial 0.5, one slip 1, anything else 9; a token left over 9."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) > 6:  # of longer names the words that agree go first; what then is longer costs over 1 in any order
-        left, over = Counter(a) - Counter(b), Counter(b) - Counter(a)
-        a, b = [*left.elements()], [*over.elements()]
-    if len(b) > 6:
-        return sum(_cost(x, y) for x, y in zip(a, b)) + 9.0 * (len(b) - len(a))
-    return min((sum(_cost(x, y) for x, y in zip(a, order)) for order in permutations(b, len(a))), default=0.0) + 9.0 * (len(b) - len(a))
+_SOUND_SYSTEM = re.compile(r"(?i)\bs\.\s?s\.|\bsound\s*sys(?:tem|\.|\b)")
+_WORD = re.compile(r"[^\W_]+")
+_CASE = re.compile(r"(?<=[^\W\d_])(?=[^\W\d_])")
 
 
-_FULL = {p: {full for table in (PET_FORMS, OWN_RIGHT) for full, pets in table.items() if p in pets} for table in (PET_FORMS, OWN_RIGHT) for pets in table.values() for p in pets}
+def fold(text: str) -> str:
+    """Lower case, Latin letters without their accents, no combining marks."""
+    out = []
+    for c in text.lower():
+        if c < "\x80":
+            out.append(c)
+        elif not unicodedata.category(c).startswith("M"):
+            plain = unicodedata.normalize("NFD", c)[0]
+            out.append(plain if plain.isascii() else c)
+    return "".join(out)
 
 
-def _cost(x: str, y: str) -> float:
+def _run_together(name: str) -> str:
+    """Words run together, cut where the case changes: 'OdinVale', 'oDINvALE'."""
+    letters = [c for c in name if c.isalpha()]
+    swapped = len(letters) > 1 and letters[0].islower() and letters[1].isupper()
+    cut = lambda m: " " if (name[m.start() - 1].isupper() and name[m.start()].islower() if swapped else name[m.start() - 1].islower() and name[m.start()].isupper()) else ""
+    return _CASE.sub(cut, name)
+
+
+@lru_cache(maxsize=100_000)
+def kind_of(word: str) -> str:
+    """The kind of act that a word names: by a short form, or from six letters on with one slip; else the word itself."""
+    if word in _KIND or len(word) < SHORT - 1:
+        return _KIND.get(word, word)
+    return next((k for k in KINDS if len(k) >= SHORT and osa_distance(word, k, 1) <= 1), word)
+
+
+def words_of(name: str) -> tuple[list[str], list[str]]:
+    """(words, those typed with a dot after two to five letters); kinds of act in full, no 'the' before others."""
+    text = fold(_SOUND_SYSTEM.sub(" soundsystem ", name))
+    found = list(_WORD.finditer(text))
+    if len(found) < 2:
+        text = fold(_run_together(name))
+        found = list(_WORD.finditer(text))
+    words = [kind_of(m[0]) for m in found]
+    dotted = [m[0] for m in found if text[m.end() : m.end() + 1] == "." and 2 <= len(m[0]) <= 5 and m[0] not in _KIND and m[0].isalpha()]
+    if len(words) > 1 and words[0] == "the":
+        words = words[1:]
+    return words, dotted
+
+
+def nodes_of(words: list[str]) -> list[str]:
+    """The names that a list of words may stand for: sorted, each pet form put to a full name. Names of acts have no pet forms."""
+    if len(words) < 2 or any(w in KINDS for w in words):
+        return [" ".join(sorted(words))]
+    pets = sum(w in _FULL for w in words)
+    ways = [(_FULL[w] if pets <= PETS_AT_ONCE else _FULL[w][:1]) if w in _FULL else [w] for w in words]
+    return sorted({" ".join(sorted(p)) for p in product(*ways)})
+
+
+def beside(node: str) -> list[str]:
+    """The names that a name is a short form of if they stand in the table too."""
+    words = node.split(" ")
+    if len(words) < 2:
+        return []
+    swap = lambda i, full: " ".join(sorted([*words[:i], full, *words[i + 1 :]]))
+    out = {swap(i, full) for i, w in enumerate(words) for full in _OWN.get(w, ())}
+    initials = [w for w in words if len(w) == 1]
+    if len(words) - len(initials) >= 2 and len(initials) == 1:
+        out.add(" ".join(w for w in words if len(w) > 1))  # a middle initial left out
+    return sorted(out)
+
+
+def alignment(a: list[str], b: list[str], dotted: Iterable[str] = ()) -> float:
+    """The cost of the best assignment of two lists of words.
+
+    Equal 0, pet form 0.25, initial or dotted abbreviation 0.5, one slip 1, anything else 9; a word left over 9.
+    """
+    return sum(c for c, _, _ in assignment(a, b, dotted))
+
+
+def assignment(a: list[str], b: list[str], dotted: Iterable[str] = ()) -> list[tuple[float, str, str]]:
+    """(cost, word, word) of the assignment of least total cost, equal words left out; '' stands for no word.
+
+    Equal words are assigned to each other first, which no better assignment can contradict; the rest is
+    solved by augmenting paths (the Hungarian method).
+    """
+    left, right = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
+    n = max(len(left), len(right))
+    left += [""] * (n - len(left))
+    right += [""] * (n - len(right))
+    short = set(dotted)
+    costs = [[_cost(x, y, short) for y in right] for x in left]
+    take = [0] if n == 1 else _hungarian(costs)
+    return [(costs[i][j], left[i], right[j]) for i, j in enumerate(take)]
+
+
+def _hungarian(costs: list[list[float]]) -> list[int]:
+    """The column of each row in the assignment of least cost."""
+    n = len(costs)
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (n + 1), [-1] * (n + 1)
+    for i in range(n):
+        row_of[n], j = i, n
+        least, back, used = [float("inf")] * (n + 1), [n] * (n + 1), [False] * (n + 1)
+        while row_of[j] >= 0:
+            used[j], row, delta, at = True, row_of[j], float("inf"), n
+            for k in range(n):
+                if not used[k]:
+                    if (c := costs[row][k] - u[row] - v[k]) < least[k]:
+                        least[k], back[k] = c, j
+                    if least[k] < delta:
+                        delta, at = least[k], k
+            for k in range(n + 1):
+                if used[k]:
+                    u[row_of[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = at
+        while j != n:
+            row_of[j] = row_of[back[j]]
+            j = back[j]
+    out = [0] * n
+    for j in range(n):
+        out[row_of[j]] = j
+    return out
+
+
+def _cost(x: str, y: str, dotted: set[str]) -> float:
     if x == y:
         return 0.0
-    if y in _FULL.get(x, ()) or x in _FULL.get(y, ()) or _FULL.get(x, set()) & _FULL.get(y, set()):
+    if not x or not y:
+        return 9.0
+    fulls = [{*_FULL.get(w, ()), *_OWN.get(w, ())} for w in (x, y)]
+    if y in fulls[0] or x in fulls[1] or fulls[0] & fulls[1]:
         return 0.25
     if min(len(x), len(y)) == 1:
-        return 0.5 if x[:1] == y[:1] else 9.0
-    return 1.0 if osa_distance(x, y, 1) <= 1 else 9.0
+        return 0.5 if x[0] == y[0] else 9.0
+    if (x in dotted and y.startswith(x)) or (y in dotted and x.startswith(y)):
+        return 0.5
+    return 1.0 if x.isalpha() and y.isalpha() and osa_distance(x, y, 1) <= 1 else 9.0
 
 
-@arrow_udf(DoubleType())
-def alignment_cost(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([alignment(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+_BASE, _PRIME, _WRAP = 911_382_323, (1 << 61) - 1, 1 << 64
 
 
-def signatures(words: list[str], initials: bool = True) -> list[str]:
-    """Forms that two names of as many words share if pet forms and up to two initials tell them apart and another word agrees.
-
-    initials=False: without the forms that put an initial for a word. Of more than FEW words the five longest
-    are the forms: names whose alignment costs 1 or less differ in four at most, so they share one of these.
-    """
-    n = len(words)
-    if n > FEW:
-        numbered = [(w, k) for w, c in Counter(words).items() for k in range(c)]
-        return [f"{n} {w} {k}" for w, k in sorted(numbered, key=lambda x: (-len(x[0]), x))[:5]]
-    out = set()
-    for r in range(min(2, n - 1) + 1 if initials else 1):
-        for at in combinations(range(n), r):
-            if any(len(w) > 1 for i, w in enumerate(words) if i not in at):
-                out.update(" ".join(sorted(p)) for p in product(*[[w[0]] if i in at else [w, *_FULL.get(w, ())] for i, w in enumerate(words)]))
-    return sorted(out)
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
-@arrow_udf(ArrayType(StringType()))
-def signature_forms(words: pa.Array, initials: pa.Array) -> pa.Array:
-    return pa.array([signatures(w, i) for w, i in zip(words.to_pylist(), initials.to_pylist())], pa.list_(pa.string()))
+def _signed(x: int) -> int:
+    x %= _WRAP
+    return x - _WRAP if x >= 1 << 63 else x
 
 
-def deletes(word: Column) -> Column:
-    """Forms that two words within one slip always share: the symmetric-delete neighbourhood.
+def deletes(word: str) -> set[int]:
+    """The symmetric-delete neighbourhood: hashes of the word and of every form with one letter left out.
 
-    Up to LONG letters the word and every form with one letter left out. In a longer word one slip touches
-    two neighbouring letters at most, so its first or its last third stays whole: those thirds, for the
-    lengths that one letter more or less gives, are the forms, and their size stays linear.
+    Two words within one slip always share one. Rolling hashes keep it linear in the length of the word.
     """
-    n = F.length(word)
-    near = F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, n)))))
-    thirds = F.array_distinct(F.transform(F.array(n - 1, n, n + 1), lambda k: F.floor(k / 3).cast("int")))
-    ends = F.concat(F.transform(thirds, lambda k: F.concat(F.lit("<"), k.cast("string"), F.lit(":"), F.sha1(word.substr(F.lit(1), k)))), F.transform(thirds, lambda k: F.concat(F.lit(">"), k.cast("string"), F.lit(":"), F.sha1(word.substr(n - k + 1, k)))))
-    # around the border both kinds are emitted, so words on either side of it meet
-    return F.when(n < LONG, near).when(n <= LONG + 1, F.concat(near, ends)).otherwise(ends)
+    n, sums, powers = len(word), [0], [1]
+    for c in word:
+        sums.append((sums[-1] * _BASE + ord(c) + 1) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    return {sums[n], *((sums[i] * powers[n - 1 - i] + sums[n] - sums[i + 1] * powers[n - i - 1]) % _PRIME for i in range(n))}
 
 
-def _tokens(name: Column) -> Column:
-    """Lower-case words without accents; 'sound system' and its short forms are one word."""
-    t = F.regexp_replace(name, r"(?i)\bs\.\s?s\.|\bsound\s*sys(?:tem|\.|\b)", " soundsystem ")
-    return F.filter(F.split(fold_accents(F.lower(t)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def slip_signatures(node: str) -> list[int]:
+    """Hashes of (the other words, a form of this one) for every word of letters but initials."""
+    words = node.split(" ")
+    hashes = [_hash(w) for w in words]
+    total = sum(hashes)
+    return list({_signed((total - h) * 0x9E3779B97F4A7C15 + f) for w, h in zip(words, hashes) if len(w) > 1 and w.isalpha() for f in deletes(w)})
 
 
-def _camel(name: Column) -> Column:
-    """Words run together, cut where the case changes: 'OdinVale', 'oDINvALE'."""
-    usual = F.regexp_replace(name, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    swapped = F.regexp_replace(name, r"(\p{Lu})(\p{Ll})", "$1 $2")
-    return F.when(name.rlike(r"^\P{L}*\p{Ll}\p{Lu}"), swapped).otherwise(usual)
+def letter_signatures(node: str, dotted: list[str]) -> tuple[bool, list[int]]:
+    """(asks, hashes of (first letters of all words, one whole word)). A name with initials or dotted words asks by its longest whole word; others answer by each."""
+    words = node.split(" ")
+    letters = sum(_hash("^" + w[0]) for w in words)
+    whole = [w for w in words if len(w) > 1 and w not in dotted]
+    asks = any((len(w) == 1 and w.isalpha()) or w in dotted for w in words)
+    chosen = ([max(whole, key=lambda w: (len(w), w))] if whole else []) if asks else whole
+    return asks, list({_signed(letters * 0x9E3779B97F4A7C15 + _hash(w)) for w in chosen})
+
+
+def _map(df: DataFrame, schema: str, types: list[pa.DataType], each: Callable[..., Iterable[tuple]]) -> DataFrame:
+    """Rows that `each` gives for every row of df, by Arrow batches."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                rows = [out for row in zip(*[c.to_pylist() for c in batch.slice(at, 2000).columns]) for out in each(*row)]
+                columns = list(zip(*rows)) if rows else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
+    return df.mapInArrow(run, schema)
 
-def _kind(word: Column) -> Column:
-    """The kind of act that a word names, by its short forms or with one slip, else null."""
-    exact = F.lit(None).cast("string")
-    for kind, short in KINDS.items():
-        exact = F.when(word.isin(kind, *short), kind).otherwise(exact)
-    near = F.lit(None).cast("string")
-    for kind in KINDS:
-        if len(kind) >= 6:
-            near = F.when((F.length(word) >= len(kind) - 1) & (F.length(word) <= len(kind) + 1) & (slips(word, F.lit(kind)) <= 1), kind).otherwise(near)
-    return F.coalesce(exact, near)
+
+TEXT, WORDS = pa.string(), pa.list_(pa.string())
 
 
 def single_names(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFrame:
     """(value, name): distinct values that name one artist in plain characters; name is the value without quotes and separators."""
     values = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").rlike(r"[\p{L}\p{N}]")).distinct()
-    unusual = clean_text(values, "value", ["value"], changed_only=True).select(F.col("id").alias("value"))
-    values = materialise(values.join(unusual, "value", "left_anti"))
+    cleaned = clean_text(values, "value", ["value"]).where(F.col("clean") == F.col("value")).select("value")
     packed = may_hold_several(F.col("value"), grammar) | F.col("value").contains('"')
-    parts = split_values(values.where(packed).select("value", F.col("value").alias("field_")), "value", {"field_": grammar})
-    one = parts.groupBy("id").agg(F.count("*").alias("n"), F.first("value").alias("name")).where("n = 1").select(F.col("id").alias("value"), "name")
-    return values.where(~packed).select("value", F.col("value").alias("name")).unionByName(one)
-
-
-def forms(names: DataFrame) -> DataFrame:
-    """(key, core, qual, kind) of each distinct key of (value, key, name); kind 'act', 'person', 'initial' or 'other'."""
-    words, camel = _tokens(F.col("name")), _tokens(_camel(F.col("name")))
-    cut = names.select("key", F.when(F.size(words) > 1, words).otherwise(camel).alias("words"))
-    keys = cut.groupBy("key").agg(F.max(F.struct(F.size("words").alias("n"), "words")).alias("w")).select("key", F.col("w.words").alias("words"))
-    keys = keys.withColumn("words", F.when((F.size("words") > 1) & (F.get("words", 0) == "the"), F.slice("words", F.lit(2), F.size("words"))).otherwise(F.col("words"))).where(F.size("words") > 0)
-    keys = keys.withColumn("kinds", F.transform("words", _kind))
-    keys = keys.withColumn("kind", F.get(F.filter("kinds", lambda k: k.isNotNull()), 0)).withColumn("rest", F.filter(F.transform(F.arrays_zip("words", "kinds"), lambda z: F.when(z["kinds"].isNull(), z["words"])), lambda w: w.isNotNull()))
-    keys = materialise(keys.select("key", "words", "kind", "rest"))
-    act = (F.size("words") - F.size("rest") == 1) & (F.size("rest") > 0)
-    digits = lambda words: F.array_join(F.filter(words, lambda w: w.rlike(r"\p{N}")), " ")
-    plain = lambda words: F.array_join(F.filter(words, lambda w: ~w.rlike(r"\p{N}")), " ")
-    acts = keys.where(act).select("key", plain(F.col("rest")).alias("core"), F.concat_ws(" ", F.concat(F.lit("@"), "kind"), digits(F.col("rest"))).alias("qual"), F.lit("act").alias("kind"))
-    two = ~act & (F.size("words") == 2) & F.forall("words", lambda w: w.rlike(r"^\p{L}+$")) & F.exists("words", lambda w: F.length(w) > 1)
-    others = keys.where(~act & ~two).select("key", plain(F.col("words")).alias("core"), digits(F.col("words")).alias("qual"), F.lit("other").alias("kind"))
-    people = keys.where(two).select("key", F.get("words", 0).alias("a"), F.get("words", 1).alias("b"))
-    fullness = _given_likeness(people.select(F.explode(F.array("a", "b")).alias("word")))
-    rated = people.join(fullness.select(F.col("word").alias("a"), F.col("g").alias("ga"), F.col("full").alias("fa")), "a").join(fullness.select(F.col("word").alias("b"), F.col("g").alias("gb"), F.col("full").alias("fb")), "b")
-    a_given = (F.length("a") == 1) | ((F.length("b") > 1) & ((F.col("ga") > F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.length("a") <= F.length("b")))))
-    given = F.when(a_given, F.col("fa")).otherwise(F.col("fb"))
-    people = rated.select("key", F.when(a_given, F.col("b")).otherwise(F.col("a")).alias("core"), F.explode(given).alias("qual")).withColumn("kind", F.when(F.length("qual") == 1, "initial").otherwise("person"))
-    return acts.unionByName(people).unionByName(others).where("core <> ''")
-
-
-def _given_likeness(words: DataFrame) -> DataFrame:
-    """(word, g, full): how often the word, a full name it is the pet form of, or a frequent neighbour by one slip stands in two-word names."""
-    pets = words.sparkSession.createDataFrame([(p, full) for full, some in PET_FORMS.items() for p in some], "pet string, full string").groupBy("pet").agg(F.collect_list("full").alias("full"))
-    counts = materialise(words.groupBy("word").agg(F.count("*").alias("df")).where("word is not null"))
-    full = counts.join(F.broadcast(pets), counts["word"] == pets["pet"], "left").select("word", "df", F.coalesce("full", F.array("word")).alias("full"))
-    by_full = full.select("word", F.explode("full").alias("f")).join(counts.select(F.col("word").alias("f"), F.col("df").alias("fdf")), "f").groupBy("word").agg(F.max("fdf").alias("fdf"))
-    index = counts.where(F.length("word") >= 3).select("word", "df", F.explode(deletes(F.col("word"))).alias("form"))
-    often = index.where("df >= 10").select(F.col("word").alias("near"), F.col("df").alias("ndf"), "form")
-    fuzzy = index.join(often, "form").where(slips(F.col("word"), F.col("near")) <= 1).groupBy("word").agg(F.max("ndf").alias("ndf"))
-    return full.join(by_full, "word", "left").join(fuzzy, "word", "left").select("word", "full", F.greatest("df", F.coalesce("fdf", F.lit(0)), F.coalesce("ndf", F.lit(0))).alias("g"))
-
-
-def word_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links between acts and other names with two or more words in the core, the same qualifier and as many words in any order.
-
-    One word may have a slip, unless both its spellings are established; words may be pet forms; up to two may
-    be initials, where all names that fit them are one name. Another word of the core must agree.
-    """
-    several = materialise(nodes.where("kind in ('act', 'other')").select("node", "qual", "kind", F.split("core", " ").alias("words")).where(F.size("words") > 1))
-    people = nodes.where("kind = 'person'").select(F.explode(F.array("core", "qual")).alias("word"))
-    known = several.select(F.explode(F.array_distinct("words")).alias("word")).unionByName(people).groupBy("word").agg(F.count("*").alias("names"))
-    # one slip, the other words equal
-    out = several.where(F.size("words") <= FEW).select("node", "qual", "kind", "words", F.posexplode("words").alias("i", "word")).where(F.length("word") > 1)
-    out = out.withColumn("rest", F.array_join(F.sort_array(F.filter("words", lambda w, k: k != F.col("i"))), " ")).join(known, "word")
-    index = out.select("node", "qual", "kind", "rest", "words", "word", "names", F.explode(deletes(F.col("word"))).alias("form"))
-    right = index.withColumnsRenamed({"node": "node2", "words": "words2", "word": "word2", "names": "names2"})
-    both = (F.least("names", "names2") >= 3) & (F.least("names", "names2") >= ESTABLISHED * F.greatest("names", "names2"))
-    slip = index.join(right, ["qual", "kind", "rest", "form"]).where("node < node2").where((F.col("word") == F.col("word2")) | (~both & (slips(F.col("word"), F.col("word2")) <= 1)))
-    slip = slip.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("words").alias("x"), F.col("words2").alias("y"))
-    # another order, pet forms and initials; only names that hold an initial look for one
-    short = F.exists("words", lambda w: F.length(w) == 1)
-    signed = lambda df, initials: df.select("node", "qual", "kind", "words", F.explode(signature_forms("words", initials)).alias("form"))
-    right = signed(several, F.lit(True)).withColumnsRenamed({"node": "node2", "words": "words2"})
-    alike = signed(several, short).join(right, ["qual", "kind", "form"]).where("node <> node2")
-    alike = alike.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.when(F.col("node") < F.col("node2"), F.col("words")).otherwise(F.col("words2")).alias("x"), F.when(F.col("node") < F.col("node2"), F.col("words2")).otherwise(F.col("words")).alias("y"))
-    pairs = slip.unionByName(alike).groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    pairs = materialise(pairs.where(alignment_cost(F.col("x"), F.col("y")) <= 1))
-    # an initial stands for a word only where all names that it fits are one
-    asks = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("y").alias("x"), F.col("x").alias("y")))
-    asks = asks.where(F.exists("x", lambda w: (F.length(w) == 1) & ~F.array_contains("y", w)))
-    weight = asks.select(F.col("b").alias("node"), F.explode("y").alias("word")).distinct().join(known, "word").groupBy("node").agg(F.sum("names").alias("weight"))
-    asks = asks.join(weight.withColumnRenamed("node", "b"), "b")
-    main = asks.groupBy("a").agg(F.max(F.struct("weight", "y")).alias("m")).select("a", F.col("m.y").alias("main"))
-    doubt = asks.join(main, "a").where(alignment_cost(F.col("main"), F.col("y")) > 1).select("a").distinct()
-    unclear = asks.join(doubt, "a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(unclear, ["a", "b"], "left_anti").select("a", "b")
-
-
-def _by_evidence(pairs: DataFrame) -> DataFrame:
-    """The pairs (node, node2, core, core2, qual, kind, spread, spread2) of a core and its slip that the table does not tell apart.
-
-    spread: qualifiers that a core stands beside. Two short cores that both stand beside several are two names,
-    unless one of them is rare against the other. An act or a single word has no given name to vouch for it, so
-    a short one goes with the core near it of the greatest spread if that is one only, and with one of equal
-    spread only where this holds both ways.
+    values = materialise(cleaned.withColumn("packed", packed))
+    one = split_values(values.where("packed").select("value", F.col("value").alias("field_")), "value", {"field_": grammar}, single_only=True)
+    return values.where("not packed").select("value", F.col("value").alias("name")).unionByName(one.select(F.col("id").alias("value"), F.col("value").alias("name")))
+
+
+def readings(names: DataFrame) -> DataFrame:
+    """(key, node, typed, dotted, beside) of (value, key, name): what each key is read as.
+
+    Several nodes where a pet form has several full names, and one more, `typed`, for the pet form itself, so that a slip in it is found.
     """
-    short = F.least(F.length("core"), F.length("core2")) < SHORT
-    both = (F.least("spread", "spread2") >= 2) & (F.least("spread", "spread2") >= ESTABLISHED * F.greatest("spread", "spread2"))
-    pairs = materialise(pairs.where(~(short & both)).withColumn("lone", short & F.col("kind").isin("act", "other")).distinct())
-    lone = pairs.where("lone")
-    ends = lone.select("node", F.struct(F.col("spread2").alias("spread"), F.col("node2").alias("node")).alias("near")).unionByName(lone.select(F.col("node2").alias("node"), F.struct("spread", "node").alias("near")))
-    top = ends.groupBy("node", "near.spread").agg(F.count("*").alias("n"), F.first("near.node").alias("goes")).groupBy("node").agg(F.max(F.struct("spread", "n", "goes")).alias("top"))
-    goes = top.where("top.n = 1").select("node", F.col("top.goes").alias("goes"))
-    chosen = lone.join(goes, "node", "left").join(goes.select(F.col("node").alias("node2"), F.col("goes").alias("goes2")), "node2", "left")
+    read = _map(names.select("key", "name"), "key string, words array<string>, dotted array<string>", [TEXT, WORDS, WORDS], lambda key, name: [(key, *words_of(name))])
+    best = read.where(F.size("words") > 0).groupBy("key").agg(F.max(F.struct(F.size("words").alias("n"), "words", "dotted")).alias("w")).select("key", "w.words", "w.dotted")
+
+
+    def each(key: str, words: list[str], dotted: list[str]) -> list[tuple]:
+        nodes, typed = nodes_of(words), " ".join(sorted(words))
+        return [(key, n, False, dotted, beside(n)) for n in nodes] + ([] if typed in nodes else [(key, typed, True, [], [])])
+
+    return _map(best, "key string, node string, typed boolean, dotted array<string>, beside array<string>", [TEXT, TEXT, pa.bool_(), WORDS, WORDS], each)
+
+
+@arrow_udf(StructType([StructField("cost", DoubleType()), StructField("x", StringType()), StructField("y", StringType())]))
+def aligned(a: pa.Array, b: pa.Array, dotted: pa.Array) -> pa.Array:
+    """The cost of the assignment of two nodes' words, and the two words of its dearest pair."""
+    out = []
+    for x, y, short in zip(a.to_pylist(), b.to_pylist(), dotted.to_pylist()):
+        pairs = assignment(x.split(" "), y.split(" "), short or ())
+        _, one, two = max(pairs, default=(0.0, "", ""))
+        out.append({"cost": sum(c for c, _, _ in pairs), "x": one, "y": two})
+    return pa.array(out, pa.struct([("cost", pa.float64()), ("x", TEXT), ("y", TEXT)]))
+
+
+def slip_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose best assignment has one slip, unless the table knows both words as words of their own."""
+    index = _map(nodes.select("node"), "sig long, node string", [pa.int64(), TEXT], lambda node: [(s, node) for s in slip_signatures(node)])
+    met = index.join(index.withColumnRenamed("node", "node2"), "sig").where("node < node2").select("node", "node2").distinct()
+    pairs = met.withColumn("m", aligned("node", "node2", F.array().cast("array<string>"))).where("m.cost = 1").select("node", "node2", "m.x", "m.y")
+    stands = nodes.select(F.explode(F.array_distinct(F.split("node", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    for side in "xy":
+        pairs = pairs.join(stands.select(F.col("word").alias(side), F.col("n").alias(f"n{side}")), side)
+    low, high, short = F.least("nx", "ny"), F.greatest("nx", "ny"), F.least(F.length("x"), F.length("y")) < SHORT
+    own = (low >= F.when(short, 2).otherwise(OWN_NAMES)) & (low >= OWN_SHARE * high)
+    pairs = materialise(pairs.where(~own).select("node", "node2", "nx", "ny", short.alias("short")))
+    return pairs.where("not short").select(F.col("node").alias("a"), F.col("node2").alias("b")).unionByName(_chosen(pairs.where("short")))
+
+
+def _chosen(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (node, node2, nx, ny) with a short word: the rarer goes with the one near it that stands in most names, if that is one only; equals only with each other."""
+    ends = pairs.select("node", F.col("ny").alias("n"), F.col("node2").alias("near")).unionByName(pairs.select(F.col("node2").alias("node"), F.col("nx").alias("n"), F.col("node").alias("near"))).repartition("node")
+    top = ends.groupBy("node", "n").agg(F.count("*").alias("many"), F.min("near").alias("goes")).groupBy("node").agg(F.max(F.struct("n", "many", "goes")).alias("top"))
+    goes = top.where("top.many = 1").select("node", F.col("top.goes").alias("goes"))
+    met = pairs.join(goes, "node", "left").join(goes.select(F.col("node").alias("node2"), F.col("goes").alias("goes2")), "node2", "left")
     there, back = F.coalesce(F.col("goes") == F.col("node2"), F.lit(False)), F.coalesce(F.col("goes2") == F.col("node"), F.lit(False))
-    chosen = chosen.where(F.when(F.col("spread") < F.col("spread2"), there).when(F.col("spread") > F.col("spread2"), back).otherwise(there & back))
-    return pairs.where("not lone").drop("lone").unionByName(chosen.drop("lone", "goes", "goes2"))
-
-
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): confirmed links between nodes (node, core, qual, kind) of `forms`."""
-    full = nodes.where("kind <> 'initial'")
-    # one slip in the core, the same qualifier
-    spread = full.groupBy("core", "kind").agg(F.count("*").alias("spread"))
-    cores = full.join(spread, ["core", "kind"]).select("node", "core", "qual", "kind", "spread", F.explode(deletes(F.col("core"))).alias("form"))
-    right = cores.select(F.col("node").alias("node2"), F.col("core").alias("core2"), F.col("spread").alias("spread2"), F.col("qual"), F.col("kind"), "form")
-    core_slip = cores.join(right, ["qual", "kind", "form"]).where("node < node2").where(slips(F.col("core"), F.col("core2")) <= 1)
-    core_words = lambda c: F.size(F.split(c, " "))
-    core_slip = core_slip.where((core_words("core") == 1) | (core_words("core") != core_words("core2")))  # as many words: word_links
-    core_slip = _by_evidence(core_slip.where(alignment_cost(F.array("core"), F.array("core2")) <= 1).drop("form"))
-    core_slip = core_slip.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.array("core", "qual").alias("x"), F.array("core2", "qual").alias("y"))
-    # one slip in the given name, the same core
-    people = nodes.where("kind = 'person'")
-    share = people.groupBy("qual").agg(F.count("*").alias("people"))
-    known = people.join(share, "qual")
-    givens = known.select("node", "core", "qual", "people", F.explode(deletes(F.col("qual"))).alias("form"))
-    right = givens.select(F.col("node").alias("node2"), "core", F.col("qual").alias("qual2"), F.col("people").alias("people2"), "form")
-    both = (F.least("people", "people2") >= 3) & (F.least("people", "people2") >= ESTABLISHED * F.greatest("people", "people2"))
-    given_slip = givens.join(right, ["core", "form"]).where("node < node2").where(~both & (slips(F.col("qual"), F.col("qual2")) <= 1))
-    given_slip = given_slip.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.array("core", "qual").alias("x"), F.array("core", "qual2").alias("y"))
-    # a pet form that is a name in its own right, beside the full name
-    own = nodes.sparkSession.createDataFrame([(p, f) for f, some in OWN_RIGHT.items() for p in some], "qual string, qual2 string")
-    short = people.join(F.broadcast(own), "qual").select(F.col("node").alias("a"), "core", "qual", "qual2")
-    by_pet = short.join(people.select(F.col("node").alias("b"), "core", F.col("qual").alias("qual2")), ["core", "qual2"]).select("a", "b", F.array("core", "qual").alias("x"), F.array("core", "qual2").alias("y"))
-    # an initial, where only one given name of the core begins with it
-    first = people.withColumn("letter", F.substring("qual", 1, 1)).join(share, "qual")
-    main = first.groupBy("core", "letter").agg(F.max(F.struct("people", "qual")).alias("m")).select("core", "letter", F.col("m.qual").alias("main"))
-    only = first.join(main, ["core", "letter"]).withColumn("near", slips(F.col("qual"), F.col("main")) <= 1)
-    only = only.groupBy("core", "letter").agg(F.min("near").alias("one")).where("one").select("core", "letter")
-    meant = first.join(only, ["core", "letter"]).select("core", F.col("letter").alias("initial"), F.col("node").alias("b"), F.col("qual").alias("qual2"))
-    initials = nodes.where("kind = 'initial'").select(F.col("node").alias("a"), "core", F.col("qual").alias("initial"))
-    by_initial = initials.join(meant, ["core", "initial"]).select("a", "b", F.array("core", "initial").alias("x"), F.array("core", "qual2").alias("y"))
-    candidates = core_slip.unionByName(given_slip).unionByName(by_pet).unionByName(by_initial)
-    distinct = candidates.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    return materialise(distinct.where(alignment_cost(F.col("x"), F.col("y")) <= 1).select("a", "b").unionByName(word_links(nodes)))
+    return met.where(F.when(F.col("nx") < F.col("ny"), there).when(F.col("nx") > F.col("ny"), back).otherwise(there & back)).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+
+def short_forms(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """(node, comp): the component meant by names with initials or abbreviations, where all names that fit them are of one.
+
+    nodes: (node, dotted); of: (node, comp) of all nodes.
+    """
+    rows = materialise(_map(nodes, "node string, dotted array<string>, asks boolean, sig long", [TEXT, WORDS, pa.bool_(), pa.int64()], lambda node, dotted: [(node, dotted, asks, s) for asks, some in [letter_signatures(node, dotted)] for s in some]))
+    asks = rows.where("asks").select("sig", "node", "dotted")
+    answers = rows.where("not asks").select("sig", F.col("node").alias("full")).join(asks.select("sig").distinct(), "sig", "left_semi")
+    fits = asks.join(answers, "sig").withColumn("m", aligned("node", "full", "dotted"))
+    fits = fits.where((F.col("m.cost") < 9) & (F.col("m.cost") <= 0.5 * F.size(F.filter(F.split("node", " "), lambda w: (F.length(w) == 1) | F.array_contains("dotted", w)))))
+    return fits.join(of.withColumnRenamed("node", "full"), "full").groupBy("node").agg(F.min("comp").alias("comp"), F.max("comp").alias("last")).where("comp = last").select("node", "comp")
 
 
 def variants(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFrame:
@@ -307,18 +357,28 @@ def variants(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFram
 
     Values are left out that are null, blank or without letters and digits, that name several artists, or
     that hold unusual characters. Values that differ in layout only have one key. Repeated rows count once.
-    Two keys share an entity if a chain of confirmed links joins them: a slip in one word, words in another
-    order, an initial that only one given name of the surname fits, a pet or unaccented form, another form
-    of the kind of act, 'The' before it. A slip in a short word counts unless both spellings are names of their
-    own by what they stand beside (`_by_evidence`). Other numbers, kinds and given names do not link.
+    Two keys share an entity if a chain of confirmed links joins them: words in another order, a pet or
+    unaccented form, another form of the kind of act, 'The' before it, a slip in one word, a middle initial
+    more, an initial or a dotted abbreviation that fits one entity only. A slip links unless both words are
+    words of their own: found in OWN_NAMES names or more, the rarer in OWN_SHARE of the commoner's; in words of
+    fewer than SHORT letters two names are enough, and one with several equally likely neighbours links to
+    none. Other numbers, kinds and given names do not link. Names of any number of words are treated alike.
     An empty table gives an empty table; texts are read whole; columns that are not named are not read.
     """
     names = materialise(single_names(df, column, grammar).withColumn("key", letters_and_digits(F.col("name"))))
-    found = forms(names).withColumn("node", F.concat_ws("\x1f", "kind", "core", "qual"))
-    found = materialise(found.select("key", "node", "core", "qual", "kind"))
-    nodes = found.select("node", "core", "qual", "kind").distinct()
-    of = components(links(nodes))
-    member = found.join(of, "node", "left").select("key", F.coalesce("comp", "node").alias("entity")).distinct()
+    read = materialise(readings(names))
+    nodes = materialise(read.groupBy("node").agg(F.max("dotted").alias("dotted"), F.max("beside").alias("beside"), F.min("typed").alias("typed")))
+    asked = nodes.where(F.size("beside") > 0).select("node", F.explode("beside").alias("full"))
+    held = asked.join(nodes.select(F.col("node").alias("full")), "full")
+    middle = F.size(F.split("node", " ")) > F.size(F.split("full", " "))
+    # a middle initial only where no other one stands beside the same name
+    single = held.where(middle).groupBy("full").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    links = slip_links(nodes).unionByName(held.where(~middle).select(F.col("node").alias("a"), F.col("full").alias("b"))).unionByName(single.select(F.col("node").alias("a"), F.col("full").alias("b")))
+    of = components(links)
+    of = materialise(nodes.select("node").join(of, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+    meant = short_forms(nodes.where("not typed").select("node", "dotted"), of).select("node", F.col("comp").alias("meant"))
+    entity = of.join(meant, "node", "left").select("node", F.coalesce("meant", "comp").alias("entity"))
+    member = materialise(read.select("key", "node").join(entity, "node").select("key", "entity").distinct())
     several = member.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity")
     return names.join(member.join(several, "entity"), "key").select("value", "key", "entity")
 
@@ -326,11 +386,12 @@ def variants(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFram
 def pairs(found: DataFrame) -> DataFrame:
     """(value_a, value_b), value_a < value_b: every two values of one entity with different keys, each pair once.
 
-    The join runs on (entity, cell) with at most CELL values of one side in a cell, so no task meets a whole large entity.
+    The join runs on (entity, cell, cell) with at most CELL values a side in a cell, so no task meets a whole large entity.
     """
     found = materialise(found.select("value", "key", "entity").distinct())
     sizes = found.groupBy("entity").agg(F.count("*").alias("n"))
     cells = found.join(sizes, "entity").withColumn("cells", F.ceil(F.col("n") / CELL)).withColumn("cell", F.pmod(F.xxhash64("value"), "cells"))
-    left = cells.select("entity", F.col("value").alias("value_a"), F.col("key").alias("key_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
-    right = cells.select("entity", F.col("value").alias("value_b"), F.col("key").alias("key_b"), "cell")
-    return left.join(right, ["entity", "cell"]).where("value_a < value_b and key_a <> key_b").select("value_a", "value_b").distinct()
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    left = cells.select("entity", F.col("value").alias("value_a"), F.col("key").alias("key_a"), F.col("cell").alias("row"), every.alias("column"))
+    right = cells.select("entity", F.col("value").alias("value_b"), F.col("key").alias("key_b"), every.alias("row"), F.col("cell").alias("column"))
+    return left.join(right, ["entity", "row", "column"]).where("value_a < value_b and key_a <> key_b").select("value_a", "value_b").distinct()
