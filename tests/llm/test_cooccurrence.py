@@ -36,11 +36,21 @@ def test_against_brute_force(spark, least, share):
     assert rows(op.cooccurrence(df, "tags", least, share)) == brute(baskets, least, share)
 
 
-def test_without_dictionary(spark, monkeypatch):
+@pytest.mark.parametrize("least, share", [(1, 0), (3, 0), (2, 20)])
+def test_beyond_the_dictionary(spark, monkeypatch, least, share):
     monkeypatch.setattr(op, "DICTIONARY", 3)
+    monkeypatch.setattr(op, "AT_ONCE", 5)
     baskets = random_baskets(9)
     df = spark.createDataFrame([(b,) for b in baskets], "tags array<string>")
-    assert rows(op.cooccurrence(df, "tags")) == brute(baskets)
+    assert rows(op.cooccurrence(df, "tags", least, share)) == brute(baskets, least, share)
+
+
+def test_sixty_thousand_items(spark):
+    rng = random.Random(2)
+    baskets = [[f"i{int(60_000 * rng.random() ** 1.5):05}" for _ in range(12)] for _ in range(12_000)] + [[f"i{i:05}" for i in range(k, 60_000, 97)] for k in range(97)] * 2
+    df = spark.createDataFrame([(b,) for b in baskets], "tags array<string>")
+    assert len({x for b in baskets for x in b}) == 60_000 > op.DICTIONARY
+    assert rows(op.cooccurrence(df, "tags", 3)) == brute(baskets, 3)
 
 
 def test_blocks_and_one_long_basket(spark):
