@@ -28,6 +28,10 @@ LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru")
 SAMPLE = 300
 #: Letter runs whose products a worker remembers at most.
 REMEMBERED = 1_500_000
+#: Sentences of at most LONGEST letters whose language a worker remembers, about.
+SENTENCES, LONGEST = 100_000, 400
+#: The language of a document without sentences.
+NONE = "und"
 EPOCHS = 6
 SHARPNESS = 60.0
 
@@ -184,6 +188,7 @@ class Scorer:
     def __init__(self, profiles: Profiles) -> None:
         self.profiles, self.space = profiles, Letters(profiles.prototypes.shape[1])
         self.keys, self.values = np.zeros(0, np.int64), np.zeros((0, len(profiles.languages)), np.float32)
+        self.known: dict[str, tuple[str, float]] = {}
 
     def cosines(self, texts: list[str]) -> np.ndarray:
         keys, starts = runs(texts)
@@ -205,6 +210,22 @@ class Scorer:
         return dots / np.sqrt(square * self.space.dimensions)[:, None]
 
 
+    def languages(self, texts: set[str]) -> dict[str, tuple[str, float]]:
+        """(language, sureness) of each sentence; sentences that come again are scored once."""
+        new = [t for t in texts if t not in self.known]
+        if new:
+            cosines = self.cosines([letters(t) for t in new])
+            sure = 1 / np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True))).sum(axis=1)
+            found = dict(zip(new, zip([self.profiles.languages[i] for i in cosines.argmax(axis=1).tolist()], sure.tolist())))
+        else:
+            found = {}
+        out = found | {t: self.known[t] for t in texts if t not in found}
+        if len(self.known) > SENTENCES:
+            self.known = {}
+        self.known.update((t, v) for t, v in found.items() if len(t) <= LONGEST)
+        return out
+
+
 _workers: dict[int, Scorer] = {}
 
 
@@ -217,19 +238,21 @@ def sample(df: DataFrame, id_col: str, text: str, label: str, languages: tuple[s
     return sorted((r["text"], r["label"]) for r in rows)
 
 
-def segments(df: DataFrame, id_col: str, text: str, profiles: Profiles) -> DataFrame:
+def segments(df: DataFrame, id_col: str, text: str, profiles: Profiles, every: bool = False) -> DataFrame:
     """(id_col, seg, lang, confidence, sentences, chars): the stretches in one language of every text, numbered from 1.
 
     A stretch is a longest run of sentences that go to one language. Lines of names, dates, numbers, files
     or signs have no language and end no stretch. confidence is the mean over the stretch's sentences of
     the softmax of SHARPNESS times the cosines, between 0 and 1.
 
-    Null, empty and blank texts and texts without sentences give no row. A tie of cosines goes to the first
+    Null, empty and blank texts and texts without sentences give no row; every: they give one of seg 0, lang
+    'und' and confidence 0. A tie of cosines goes to the first
     language in the order of the profiles. Texts are read whole, whatever their length. Repeated rows come
     out repeated; an empty table gives an empty table; other columns are not read. No shuffle.
     """
     shared = df.sparkSession.sparkContext.broadcast(profiles)  # one row of DIMENSIONS floats a language
-    cut = df.select(F.col(id_col), F.col(text).cast("string").alias("text_")).where(F.length("text_") > 0)
+    cut = df.select(F.col(id_col), F.col(text).cast("string").alias("text_"))
+    cut = cut if every else cut.where(F.length("text_") > 0)
     schema = cut.select(id_col).schema
     for name, kind in (("seg", IntegerType()), ("lang", StringType()), ("confidence", DoubleType()), ("sentences", IntegerType()), ("chars", LongType())):
         schema = schema.add(name, kind)
@@ -244,36 +267,32 @@ def segments(df: DataFrame, id_col: str, text: str, profiles: Profiles) -> DataF
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts, owner = [], []
-                for n, value in enumerate(batch["text_"].to_pylist()):
-                    for s in sentences(value):
-                        texts.append(s)
-                        owner.append(n)
-                if not texts:
-                    continue
-                cosines = scorer.cosines([letters(t) for t in texts])
-                best = cosines.argmax(axis=1)
-                sure = np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
-                sure = (1 / sure.sum(axis=1)).tolist()
+                pieces = [sentences(value) for value in batch["text_"].to_pylist()]
+                scored = scorer.languages({s for some in pieces for s in some})
                 out: list[list] = []
-                last = None
-                for n, language, sureness, s in zip(owner, best.tolist(), sure, texts):
-                    if last != (n, language):
-                        out.append([n, 1 if not out or out[-1][0] != n else out[-1][1] + 1, language, 0.0, 0, 0])
-                        last = (n, language)
-                    row = out[-1]
-                    row[3] += sureness
-                    row[4] += 1
-                    row[5] += len(s)
-                ids = batch[id_col].take(pa.array([r[0] for r in out], pa.int32()))
-                columns = [pa.array([r[1] for r in out], pa.int32()), pa.array([profiles.languages[r[2]] for r in out]), pa.array([r[3] / r[4] for r in out]), pa.array([r[4] for r in out], pa.int32()), pa.array([r[5] for r in out], pa.int64())]
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=[id_col, "seg", "lang", "confidence", "sentences", "chars"])
+                for n, some in enumerate(pieces):
+                    last, seg = None, 0
+                    for s in some:
+                        language, sureness = scored[s]
+                        if language != last:
+                            last, seg = language, seg + 1
+                            out.append([n, seg, language, 0.0, 0, 0])
+                        row = out[-1]
+                        row[3] += sureness
+                        row[4] += 1
+                        row[5] += len(s)
+                    if every and not some:
+                        out.append([n, 0, NONE, 0.0, 0, 0])
+                if out:
+                    ids = batch[id_col].take(pa.array([r[0] for r in out], pa.int32()))
+                    columns = [pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out]), pa.array([r[3] / max(r[4], 1) for r in out]), pa.array([r[4] for r in out], pa.int32()), pa.array([r[5] for r in out], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([ids, *columns], names=[id_col, "seg", "lang", "confidence", "sentences", "chars"])
 
     return cut.mapInArrow(run, schema)
 
 
 def documents(found: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, lang, confidence, languages, stretches) of segments(): the language with most letters (of a tie the first by name)."""
-    by = found.groupBy(id_col, "lang").agg(F.sum("chars").alias("chars"), F.sum(F.col("confidence") * F.col("sentences")).alias("sure"), F.sum("sentences").alias("sentences"), F.count("*").alias("stretches"))
-    top = F.min(F.struct((-F.col("chars")).alias("rank"), "lang", (F.col("sure") / F.col("sentences")).alias("confidence"))).alias("top")
-    return by.groupBy(id_col).agg(top, F.count("*").cast("int").alias("languages"), F.sum("stretches").cast("int").alias("stretches")).select(id_col, "top.lang", "top.confidence", "languages", "stretches")
+    """(id_col, lang, confidence, languages, stretches) of segments(): the language with most letters (of a tie the first by name); rows of seg 0 count no language."""
+    by = found.groupBy(id_col, "lang").agg(F.sum("chars").alias("chars"), F.sum(F.col("confidence") * F.col("sentences")).alias("sure"), F.sum("sentences").alias("sentences"), F.sum((F.col("seg") > 0).cast("int")).alias("stretches"))
+    top = F.min(F.struct((-F.col("chars")).alias("rank"), "lang", F.coalesce(F.try_divide(F.col("sure"), F.col("sentences")), F.lit(0.0)).alias("confidence"))).alias("top")
+    return by.groupBy(id_col).agg(top, F.sum((F.col("lang") != NONE).cast("int")).cast("int").alias("languages"), F.sum("stretches").cast("int").alias("stretches")).select(id_col, "top.lang", "top.confidence", "languages", "stretches")

@@ -115,24 +115,38 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(load(spark, folder, "documents"), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    counted = materialise(tokenizer.count_tokens(load(spark, folder, "documents").where("source is not null"), "text", ["doc_id", "source"]))
-    targets = load(spark, folder, "source_target")
-    return mixture.mix(counted, "doc_id", "source", "n_tokens", targets), targets
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    return materialise(tokenizer.count_tokens(load(spark, folder, "documents").where("source is not null"), "text", ["doc_id", "source"]))
+
+
+def _mixed(spark: SparkSession, folder: str, **how: float) -> DataFrame:
+    return mixture.mix(_counted(spark, folder), "doc_id", "source", "n_tokens", load(spark, folder, "source_target"), **how)
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return _mixed(spark, folder)[0]
+    return _mixed(spark, folder)
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.shares(*_mixed(spark, folder))
+    return mixture.shares(_mixed(spark, folder), load(spark, folder, "source_target"))
+
+
+def p9_capped(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of a mixture as large as all texts together: more than the targets allow, so the exponent is bisected until the caps hold."""
+    counted, targets = _counted(spark, folder), load(spark, folder, "source_target")
+    total = counted.agg(F.sum("n_tokens")).first()[0]
+    return mixture.shares(mixture.mix(counted, "doc_id", "source", "n_tokens", targets, total=float(total or 0)), targets)
+
+
+def p9_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of a mixture whose source weights are the token shares raised to the power that gives 1.5 nats."""
+    return mixture.shares(_mixed(spark, folder, nats=1.5), load(spark, folder, "source_target"))
 
 
-def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _segments(spark: SparkSession, folder: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
     documents = load(spark, folder, "documents")
     profiles = languages.fit(languages.sample(documents, "doc_id", "text", "lang"))
-    return languages.segments(documents, "doc_id", "text", profiles), documents
+    return languages.segments(documents, "doc_id", "text", profiles, every), documents
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,8 +159,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The language of each document that has sentences, with its confidence."""
-    return languages.documents(_segments(spark, folder)[0], "doc_id")
+    """The language of each document with its confidence; 'und' with confidence 0 where it has no sentence."""
+    return languages.documents(_segments(spark, folder, every=True)[0], "doc_id")
 
 
 P4_TRIM = r"regexp_replace(coalesce(comment, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
@@ -174,7 +188,7 @@ P4_BUNDLES = P7_KEYS + """,
     SELECT group_id, 'format' AS field, fid AS id FROM choice UNION ALL SELECT group_id, 'rate', sid FROM choice UNION ALL SELECT group_id, 'bitrate', bid FROM choice
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_bundles": p4_bundles, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_documents": p10_documents, "p1_found": p1_found, "p1_lift": p1_lift, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_copies": p7_copies}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_bundles": p4_bundles, "p5_found": p5_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_capped": p9_capped, "p9_entropy": p9_entropy, "p10_found": p10_found, "p10_documents": p10_documents, "p1_found": p1_found, "p1_lift": p1_lift, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_copies": p7_copies}
 ORACLES = {
     "p4_found": P4_SQL,
     "p4_bundles": P4_BUNDLES,

@@ -45,3 +45,10 @@ def test_nothing_to_learn_from(spark):
     empty = op.fit([])
     df = spark.createDataFrame([(1, "Some text with words.")], "doc_id long, text string")
     assert op.segments(df, "doc_id", "text", empty).count() == 1
+
+
+def test_every_document_has_a_row(spark, profiles):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "30. Ada - Moon"), (4, "This is the long night. Das ist die lange Nacht und sie endet nie."), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op.documents(op.segments(df, "doc_id", "text", profiles, every=True), "doc_id").collect()}
+    assert {k: (r.lang, r.languages, r.stretches) for k, r in got.items()} == {1: ("und", 0, 0), 2: ("und", 0, 0), 3: ("und", 0, 0), 4: ("de", 2, 2)}
+    assert got[1].confidence == 0 and got[4].confidence > 0.5

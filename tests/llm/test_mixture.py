@@ -21,11 +21,31 @@ def test_plan_keeps_the_caps(rows, total):
         assert t == 0 and all(math.isclose(weights[n], targets[n] / sum(targets.values())) for n in names)
 
 
-def test_entropy():
-    shares = {"a": 0.7, "b": 0.2, "c": 0.1}
-    got = op.to_entropy(shares, 0.9)
-    assert op.entropy(got) == pytest.approx(0.9, abs=1e-9)
-    assert op.powered(shares, 1) == pytest.approx(shares)
+def test_entropy(spark):
+    rows = [(i, s, 10) for s, n in (("a", 700), ("b", 200), ("c", 100)) for i in range(n)]
+    texts = spark.createDataFrame(rows, "doc_id long, source string, n int")
+    targets = spark.createDataFrame([(s, 0.1, 4) for s in "abc"], "source string, target_share double, max_repeats int")
+    for nats in (0.9, 0.5, 1.05):
+        got = {r.source: r for r in op.shares(op.mix(texts, "doc_id", "source", "n", targets, nats=nats), targets).collect()}
+        assert op.entropy({s: r.share for s, r in got.items()}) == pytest.approx(nats, abs=0.01)
+        powers = [math.log(got[x].share / got[y].share) / math.log(p / q) for x, y, p, q in (("a", "b", 0.7, 0.2), ("b", "c", 0.2, 0.1))]
+        assert powers[0] == pytest.approx(powers[1], abs=0.12) and all(r.most_copies <= 4 for r in got.values())
+
+
+def test_a_total_above_the_room_is_reached_by_the_exponent(spark):
+    texts, targets = tables(spark)
+    tokens = {"big": sum(10 + i % 7 for i in range(3000)), "small": 1000}
+    weights, size, t = op.plan(tokens, {"big": 0.75, "small": 0.25}, {"big": 1, "small": 3}, 30_000)
+    assert 0 < t < 1 and size == 30_000
+    got = {r.source: r for r in op.shares(op.mix(texts, "doc_id", "source", "n", targets, total=30_000), targets).collect()}
+    assert got["small"].most_copies == 3 and got["small"].tokens == 3000
+    assert got["big"].tokens == pytest.approx(weights["big"] * size, abs=17)
+
+
+def test_many_sources(spark):
+    texts = spark.range(12_000).selectExpr("id AS doc_id", "concat('s', id) AS source", "5 AS n")
+    targets = texts.selectExpr("source", "1 / 12000D AS target_share", "2 AS max_repeats")
+    assert op.mix(texts, "doc_id", "source", "n", targets).agg({"copies": "sum", "doc_id": "count"}).first()[:] == (24_000, 12_000)
 
 
 def tables(spark):
