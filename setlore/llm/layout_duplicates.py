@@ -49,7 +49,8 @@ def with_layout_key(df: DataFrame, id_col: str, fields: list[str], keep: list[st
 
 
 def _sorted(keyed: DataFrame) -> DataFrame:
-    return keyed.select("key", "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    """The keys are stored first: the range partitioner reads its input twice, once for a sample."""
+    return materialise(keyed.select("key", "id")).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], bool]]:
@@ -105,7 +106,7 @@ def pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of different ids whose rows share the canonical key.
 
     Runs inside a partition give their pairs in the scan. Long runs and those at an edge go through a join
-    on (key, cell) in which no task meets more than CELL members of one side a cell, so a group of any size
+    on (key, row, column) in which no cell meets more than CELL members a side, so a group of any size
     is spread. Null ids and repeated rows give no pair of their own; each pair comes once.
     """
     schema = pa.schema([("key", pa.string()), ("id_a", pa.string()), ("id_b", pa.string())])
@@ -127,9 +128,10 @@ def pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     members = found.where("key is not null").select("key", F.col("id_a").alias("id")).distinct()
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     cells = members.join(sizes, "key").withColumn("cells", F.ceil(F.col("n") / CELL)).withColumn("cell", F.pmod(F.xxhash64("id"), "cells"))
-    left = cells.select("key", F.col("id").alias("id_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
-    right = cells.select("key", F.col("id").alias("id_b"), "cell")
-    return found.where("key is null").select("id_a", "id_b").unionByName(left.join(right, ["key", "cell"]).where("id_a < id_b").select("id_a", "id_b"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    left = cells.select("key", F.col("id").alias("id_a"), F.col("cell").alias("row"), every.alias("column"))
+    right = cells.select("key", F.col("id").alias("id_b"), every.alias("row"), F.col("cell").alias("column"))
+    return found.where("key is null").select("id_a", "id_b").unionByName(left.join(right, ["key", "row", "column"]).where("id_a < id_b").select("id_a", "id_b"))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
