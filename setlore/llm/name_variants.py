@@ -281,7 +281,8 @@ TEXT, WORDS = pa.string(), pa.list_(pa.string())
 def single_names(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFrame:
     """(value, name): distinct values that name one artist in plain characters; name is the value without quotes and separators."""
     values = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").rlike(r"[\p{L}\p{N}]")).distinct()
-    cleaned = clean_text(values, "value", ["value"]).where(F.col("clean") == F.col("value")).select("value")
+    odd = F.col("value").rlike(r"[^\t\n\r -~]")  # other characters than plain ASCII: they alone can be unusual
+    cleaned = clean_text(values.where(odd), "value", ["value"]).where(F.col("clean") == F.col("value")).select("value").unionByName(values.where(~odd))
     packed = may_hold_several(F.col("value"), grammar) | F.col("value").contains('"')
     values = materialise(cleaned.withColumn("packed", packed))
     one = split_values(values.where("packed").select("value", F.col("value").alias("field_")), "value", {"field_": grammar}, single_only=True)
