@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +22,16 @@ GREEK = "οναιρυϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ"
 GREEK_AS = "ovaipucjABEZHIKMNOPTYXC"
 ARMENIAN = "ոսօհզցյԼՍՕ"
 ARMENIAN_AS = "nuohqgjLUO"
+COPTIC = "ⲞⲟⲢⲣⲤⲥⲀⲂⲈⲎⲒⲔⲘⲚⲦⲨⲬⲌ"
+COPTIC_AS = "OoPpCcABEHIKMNTYXZ"
+CHEROKEE = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ"
+CHEROKEE_AS = "DRTiyAJEWMHYGhZbRWSVSLCPKdB"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPDTGKJCZFMNLSRVHWXYAEIOU"
+# Letters of the Latin script that only phonetic writing uses and that look like plain ones.
+PHONETIC = "ɑɡ"
+PHONETIC_AS = "ag"
 OTHER_SCRIPTS = ("Cyrillic", "Greek", "Armenian", "Cherokee", "Lisu", "Coptic")
-# Ranges of compatibility characters that look like what they stand for.
-COMPATIBILITY_RANGES = ((0xFF01, 0xFF5E), (0xFF61, 0xFFDC), (0xFFE0, 0xFFEE), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x2160, 0x217F), (0x1D400, 0x1D7FF), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x212A, 0x212B))
 # Invisible characters beyond Unicode's format and control classes.
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u2800\u3164\uffa0"
 
@@ -32,31 +40,39 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def looks_the_same(code: int) -> str | None:
+    """The plain form of a compatibility character that looks like it, else null.
+
+    By the tags of the Unicode database: full-width, half-width and font variants of anything, and letters
+    and letter-like numbers that are written as several (ligatures, digraphs, Roman numerals). Raised,
+    lowered, circled and squared forms, fractions and dots look different and stay.
+    """
+    c = chr(code)
+    tag, _, rest = unicodedata.decomposition(c).partition("> ")
+    plain = unicodedata.normalize("NFKC", c)
+    if not rest or plain == c or c in INVISIBLE:
+        return None
+    if tag in ("<wide", "<narrow", "<font"):
+        return plain
+    return plain if tag == "<compat" and (unicodedata.category(c) == "Nl" or (unicodedata.category(c) in ("Lu", "Ll", "Lt") and len(plain) > 1)) else None
+
+
+@lru_cache(maxsize=1)
 def compatibility_forms() -> tuple[str, str, list[tuple[str, str]]]:
-    """(characters, their single replacements, [(character, longer replacement)]), by the NFKC rule."""
-    single, to, longer = [], [], []
-    for low, high in COMPATIBILITY_RANGES:
-        for code in range(low, high + 1):
-            c = chr(code)
-            plain = unicodedata.normalize("NFKC", c)
-            if c in INVISIBLE or plain == c:
-                continue
-            if len(plain) == 1:
-                single.append(c)
-                to.append(plain)
-            else:
-                longer.append((c, plain))
-    return "".join(single), "".join(to), longer
+    """(characters, their single replacements, [(character, longer replacement)]), by the rule of looks_the_same()."""
+    found = [(chr(code), plain) for code in range(0xA0, 0x20000) if (plain := looks_the_same(code))]
+    single = [(c, p) for c, p in found if len(p) == 1] + list(zip(PHONETIC, PHONETIC_AS))
+    return "".join(c for c, _ in single), "".join(p for _, p in single), [(c, p) for c, p in found if len(p) > 1]
 
 
 def clean_sql(column: str = "value", table: str = "batch") -> str:
     """The statement that adds the consistent form of a text column as `clean`."""
     single, to, longer = compatibility_forms()
-    look, latin = CYRILLIC + GREEK + ARMENIAN, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS
+    look, latin = CYRILLIC + GREEK + ARMENIAN + COPTIC + CHEROKEE + LISU, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + COPTIC_AS + CHEROKEE_AS + LISU_AS
     classes = "".join(f"\\p{{{s}}}" for s in OTHER_SCRIPTS)
     visible = f"regexp_replace({column}, '[\\p{{Cf}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}{INVISIBLE}]', '', 'g')"
     blanks = f"regexp_replace(regexp_replace({visible}, '\\p{{Zs}}', ' ', 'g'), '[\\p{{Zl}}\\p{{Zp}}]', chr(10), 'g')"
-    plain = f"translate({blanks}, {_quote(single)}, {_quote(to)})"
+    plain = f"CASE WHEN regexp_matches(shown, '[{single}]') THEN translate(shown, {_quote(single)}, {_quote(to)}) ELSE shown END"  # translate() builds its table for each value
     any_longer = "[" + "".join(c for c, _ in longer) + "]"
     chain = "seen"
     for c, text in longer:
@@ -73,7 +89,8 @@ def clean_sql(column: str = "value", table: str = "batch") -> str:
             CASE WHEN regexp_matches(w, '\\p{{Greek}}') AND NOT regexp_matches(w, '\\p{{Cyrillic}}') THEN {back_greek} ELSE {back_cyrillic} END
         ELSE w END"""
     return f"""
-        WITH a AS (SELECT *, {plain} AS seen FROM {table}),
+        WITH s AS (SELECT *, {blanks} AS shown FROM {table}),
+        a AS (SELECT * EXCLUDE (shown), {plain} AS seen FROM s),
         b AS (SELECT * EXCLUDE (seen), nfc_normalize(CASE WHEN regexp_matches(seen, '{any_longer}') THEN {chain} ELSE seen END) AS form FROM a),
         c AS (SELECT *, regexp_matches(form, '\\p{{Latin}}') AND length(regexp_replace(form, '[{look}]|[^{classes}]', '', 'g')) = 0 AS latin_only FROM b)
         SELECT * EXCLUDE (form, latin_only),
@@ -87,11 +104,12 @@ def clean_text(df: DataFrame, id_col: str, fields: list[str], changed_only: bool
     """One row a value: id, field, value, clean. `clean` differs from `value` exactly where unusual characters stand.
 
     Unusual are format, control and other invisible characters, blanks but the plain one, compatibility
-    forms that look like plain ones (full-width, half-width, ligatures, mathematical letters, Roman
-    numerals), accents apart from their letters, and letters of another script inside a word of look-alikes.
-    A word of look-alikes alone is turned to Latin where the rest of the value is Latin; words of another
-    script with a letter of their own stay. Composed accents, typographic quotes and dashes, plain blanks,
-    tabs and line ends stay.
+    forms that look like plain ones (full-width, half-width, font variants, ligatures, digraphs, Roman
+    numerals), phonetic twins of plain letters, accents apart from their letters, and letters of Cyrillic,
+    Greek, Armenian, Coptic, Cherokee or Lisu inside a word of look-alikes. A word of look-alikes alone is
+    turned to Latin where the rest of the value is Latin; words of another script with a letter of their
+    own stay. Composed accents, the dotless i, typographic quotes, dashes and signs, raised, lowered, circled
+    and squared forms, plain blanks, tabs and line ends are ordinary and stay.
 
     Null values give no row; empty ones come out unchanged. Repeated rows stay. Texts are read whole,
     whatever their length. Columns of df that are not named are not read, so their names cannot clash.

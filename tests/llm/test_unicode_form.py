@@ -8,10 +8,18 @@ CASES = {
     "plain": "plain", "": "", "Déjà\tvu\n": "Déjà\tvu\n", "Ночной вокзал": "Ночной вокзал", "Νύχτα στο λιμάνι": "Νύχτα στο λιμάνι", "ガラス": "ガラス", "“Don’t” – a": "“Don’t” – a",
     "Déjà": "Déjà", "Ｌive ２": "Live 2", "ON HOLD": "ON HOLD", "a​b­c﻿": "abc", "SORTΕD": "SORTED", "Параd": "Парad",
     "ﬁne": "fine", "ガラス": "ガラス", "Ｅ́": "É", "Νсі House": "Nci House", "ОН it": "OH it", "a b　c": "a b c", "x\u0000y": "xy", "\U0001d400b": "Ab", "ｶ": "カ",
-    "Ночнoй": "Ночной",
+    "Ночнoй": "Ночной", "ᎪᎪᎢ live": "AAT live", "ꓐꓑn": "BPn", "gɑme": "game", "x² ① ½ a‐b 5−3": "x² ① ½ a‐b 5−3", "mıx": "mıx", "ⅣǄĲ": "IVDŽIJ", "𝟘": "0", "ꓐꓲ": "ꓐꓲ", "ⲞⲢ set": "OP set",
 }
 
 
+def test_tables_pair_up():
+    from setlore.llm import unicode_form as u
+
+    for name in ("CYRILLIC", "GREEK", "ARMENIAN", "COPTIC", "CHEROKEE", "LISU", "PHONETIC"):
+        letters, twins = getattr(u, name), getattr(u, name + "_AS")
+        assert len(letters) == len(twins) == len(set(letters)) and twins.isascii()
+
+
 def test_cases(spark):
     rows = [(str(i), k, "clash", "field") for i, k in enumerate(CASES)]
     df = spark.createDataFrame(rows, "id string, title string, value string, clean string")
