@@ -32,6 +32,8 @@ REMEMBERED = 1_500_000
 SENTENCES, LONGEST = 100_000, 400
 #: The language of a document without sentences.
 NONE = "und"
+#: Size of the hash table over letter runs, as a power of two.
+SLOT_BITS = 20
 EPOCHS = 6
 SHARPNESS = 60.0
 
@@ -188,20 +190,35 @@ class Scorer:
     def __init__(self, profiles: Profiles) -> None:
         self.profiles, self.space = profiles, Letters(profiles.prototypes.shape[1])
         self.keys, self.values = np.zeros(0, np.int64), np.zeros((0, len(profiles.languages)), np.float32)
+        self.table = np.zeros(1 << SLOT_BITS, np.int32)
         self.known: dict[str, tuple[str, float]] = {}
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each key stands, is it unknown): by the hash table, and by search where two keys share a slot."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+        where = self.table[self.slots(keys)].astype(np.int64)
+        other = np.nonzero(self.keys[where] != keys)[0]
+        where[other] = np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)
+        return where, self.keys[where] != keys
+
     def cosines(self, texts: list[str]) -> np.ndarray:
         keys, starts = runs(texts)
-        where = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        if not len(self.keys) or (unknown := self.keys[where] != keys).any():
-            new = np.unique(keys[unknown] if len(self.keys) else keys)
+        where, unknown = self.places(keys)
+        if unknown.any():
+            new = np.unique(keys[unknown])
             if len(self.keys) + len(new) > REMEMBERED:
                 self.keys, self.values, new = self.keys[:0], self.values[:0], np.unique(keys)
             merged = np.concatenate([self.keys, new])
             order = np.argsort(merged)
             self.values = np.concatenate([self.values, self.space.products(new, self.profiles.prototypes)])[order]
             self.keys = merged[order]
-            where = np.searchsorted(self.keys, keys)
+            self.table[:] = 0
+            self.table[self.slots(self.keys)] = np.arange(len(self.keys))
+            where, _ = self.places(keys)
         rows, size = self.values, len(self.keys)
         dots = np.add.reduceat(rows[where], starts, axis=0)
         text_of = np.repeat(np.arange(len(texts)), np.diff([*starts, len(keys)]))
