@@ -45,6 +45,14 @@ def normalize_key(raw: Column) -> Column:
     return F.when((s == "") | (s == "ALL"), "").when(s.rlike(code), F.when(number.between(1, 12), F.concat(number.cast("string"), side)).otherwise("")).when(s.rlike(note), named).otherwise("")
 
 
+def key_parts(code: Column) -> tuple[Column, Column]:
+    """(tonic 0..11 from C, 'major' or 'minor') of a Camelot code; nulls where it is none."""
+    form = r"^([1-9]|1[0-2])([AB])$"
+    number, minor = F.regexp_extract(code, form, 1).try_cast("int"), F.regexp_extract(code, form, 2) == "A"
+    ok = code.rlike(form)
+    return F.when(ok, F.pmod((number - 8) * 7 + F.when(minor, 9).otherwise(0), F.lit(12)).cast("int")), F.when(ok, F.when(minor, "minor").otherwise("major"))
+
+
 def _notes(number: int) -> set[int]:
     return {(7 * (number - 8) + s) % 12 for s in SCALE}
 

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-# Words that mark a version of a title, two-word ones first.
-VERSION_PAIRS = ("original mix", "extended mix", "radio edit", "club mix", "dub mix", "a cappella")
-VERSION_WORDS = ("instrumental", "acapella", "remix", "rework", "edit", "bootleg", "mashup", "vip", "remaster", "remastered", "live", "extended", "radio", "mix", "version")
+# Words that mark a version of a title; of equal length the first listed wins.
+VERSIONS = (
+    "original mix", "extended mix", "radio edit", "club mix", "dub mix", "instrumental", "acapella", "a cappella", "remix", "rework", "edit", "bootleg", "mashup", "vip",
+    "remaster", "remastered", "live", "extended", "radio", "mix", "version",
+)
+VERSION_PAIRS, VERSION_WORDS = tuple(w for w in VERSIONS if " " in w), tuple(w for w in VERSIONS if " " not in w)
 # Bracketed text that names a version, and bracketed text that names none.
 VERSION_HINT = r"(?i)\b(remix|mix|edit|version|versión|dub|bootleg|mashup|rework|refix|vip|instrumental|acapella|acappella|live|extended|radio|club|remaster\w*|intro|outro|transition|short|full|clean|dirty)\b"
 NO_VERSION = r"(?i)^(original(\s+(mix|version))?|official(\s+\w+)?|hq|hd|master(ed)?|free\s+download|out\s+now|full\s+track)$"
@@ -35,7 +38,13 @@ STAGES = (("open", "intro", "start", "first"), ("warm",), ("middle", "filler", "
 GENRE_FIXES = {"Reggeaton": "Reggaeton", "Pogressive Trance": "Progressive Trance", "Psyrance": "Psytrance", "Hip-Hop": "Hip Hop", "Afro Beat": "Afrobeat", "Psy Techno": "Psytechno", "Drum n Bass": "Drum and Bass", "Nu disco": "Nu Disco", "indietronica": "Indietronica"}
 # Patterns of web addresses and shop names in tags.
 URL_TEXT = r"(?i)\b(?:https?://|www\.)|\b[a-z0-9-]+\.(?:com|net|org|io|co)\b"
-SHOP_TEXT = r"(?i)music\s*master|whoplay|electronicfresh|djsoundtop|beatport\s+top\s+\d+|dj\s*pool|promo\s*only|bpm\s*supreme|club\s*killers|crate\s*connect|samplefocus|ytbmp3|downloaded\s+from"
+SHOP_TEXT = r"(?i)music\s*master|musicmaster|whoplay|ftpdjemilio|electronicfresh|djsoundtop|beatport\s+top\s+\d+|dj\s*pool|djpool|promo\s*only|bpm\s*supreme|digital\s*dj\s*pool|club\s*killers|crate\s*connect|samplefocus|ytbmp3|downloaded\s+from"
+# Tag frames that hold addresses only, whose content decides, and that are never touched.
+URL_FRAMES = ("WOAF", "WOAS", "WORS", "WPUB", "WCOM", "WCOP", "WOAR")
+MAYBE_FRAMES = ("TENC", "TPUB", "TIT1", "TCOP", "TSSE", "TCOM", "TOWN", "TSRC")
+KEPT_FRAMES = ("TBPM", "TKEY", "TIT2", "TPE1", "TPE2", "TCON", "TDRC", "TYER", "TRCK", "TPOS")
+# An album title that names a compilation.
+COMPILATION = r"(?i)\b(vol(ume)?\.?\s*\d+|various|compilation|best of|hits|the collection|anthems|essentials|selected|presents|sampler|playlist|top \d+|\d{2,4}\s*$|^\d{2,3}\b|mixed by|dj mix)\b"
 
 
 def _accents() -> tuple[str, str]:
@@ -84,9 +93,9 @@ def base_title(title: Column, compat: bool = False) -> Column:
 
 
 def version_of(title: Column, compat: bool = False) -> Column:
-    """The longest version word inside brackets, '' if there is none; of equal length the first by name. compat: by NFKD."""
+    """The longest version word inside brackets, '' if there is none; of equal length the first listed. compat: by NFKD."""
     inside = words(F.array_join(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"[(\[{][^)\]}]*[)\]}]"), F.lit(0)), " "), compat)
-    listed = sorted((*VERSION_PAIRS, *VERSION_WORDS), key=lambda w: (-len(w), w))
+    listed = sorted(VERSIONS, key=lambda w: -len(w))
     return F.coalesce(*[F.when(F.instr(inside, w) > 0, w) for w in listed], F.lit(""))
 
 
@@ -150,6 +159,61 @@ def is_branding(text: Column) -> Column:
     return text.rlike(URL_TEXT) | text.rlike(SHOP_TEXT)
 
 
+def frame_kind(kind: Column, key: Column, value: Column) -> Column:
+    """What a tag of a file is: 'brand', 'album' (a branded album title), 'cover' or '' for what belongs to the music.
+
+    kind: 'MP4' for atoms, anything else for frames and comments. A cover counts only beside a brand, which the caller sees.
+    """
+    value, junk = F.coalesce(value, F.lit("")), is_branding(value)
+    low, base = F.lower(key), F.upper(F.split_part(key, F.lit(":"), F.lit(1)))
+    filled = F.trim(value) != ""
+    atom = F.when(low == "covr", "cover").when(key.isin("\u00a9cmt", "cprt") & junk, "brand").when((key == "\u00a9alb") & junk, "album").when(F.startswith(key, F.lit("----")) & junk & ~F.contains(low, F.lit("mixedinkey")) & ~F.contains(low, F.lit("serato")), "brand")
+    name = F.when(F.contains(low, F.lit(":")), F.substr(low, F.instr(low, ":") + 1)).otherwise(low)
+    analysis = F.contains(name, F.lit("serato")) | F.contains(name, F.lit("energy")) | F.contains(name, F.lit("key"))
+    said = F.when(analysis, "").when(junk | F.contains(name, F.lit("pool-user")) | F.endswith(name, F.lit("-user")), "brand")
+    frame = F.when(base.isin(*KEPT_FRAMES), "").when(base == "APIC", "cover").when(base.isin(*URL_FRAMES) | F.startswith(F.upper(key), F.lit("WXXX")), F.when(filled, "brand")).when((base == "TALB") | (low == "album"), F.when(junk, "album"))
+    frame = frame.when((base == "COMM") | (low == "comment"), F.when(junk, "brand")).when(base.isin(*MAYBE_FRAMES) & junk, "brand").when(F.startswith(F.upper(key), F.lit("TXXX")), said)
+    frame = frame.when(low.isin("www", "publisher", "mmpool-user") & filled, "brand").when(low.isin("encoded_by", "copyright") & junk, "brand")
+    return F.coalesce(F.when(kind == "MP4", atom).otherwise(frame), F.lit(""))
+
+
+def is_compilation(album: Column, title: Column) -> Column:
+    """Does an album's title name a compilation, unless the song is called so?"""
+    album = F.coalesce(album, F.lit(""))
+    return album.rlike(COMPILATION) & (words(album, compat=True) != words(title, compat=True))
+
+
+def search_query(title: Column, artist: Column) -> Column:
+    """What to look a song up by: the first artist and the title without its version."""
+    base = base_title(title, compat=True)
+    first = F.get(F.split(F.coalesce(artist, F.lit("")), r"(?i)\s*(?:,|&| feat\.? | ft\.? | x | vs\.? )\s*", 2), F.lit(0))
+    return F.trim(F.concat_ws(" ", first, F.when(base == "", F.coalesce(title, F.lit(""))).otherwise(base)))
+
+
+def unfindable_key(artist: Column, title: Column, query: Column) -> Column:
+    """The key under which a song that cannot be found is remembered."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    named = (F.coalesce(title, F.lit("")) != "") | (F.coalesce(artist, F.lit("")) != "")
+    return F.when(named, F.concat_ws("\t", plain(artist), plain(title))).otherwise(plain(query))
+
+
+def quality_label(exists: Column, codec: Column, lossless: Column, rate: Column, depth: Column, bitrate: Column) -> Column:
+    """'FLAC 44.1 kHz / 24-bit' of lossless files, 'MP3 320 kbps' of others, as far as it is known."""
+    codec = F.coalesce(codec, F.lit("?"))
+    khz = F.when(F.coalesce(rate, F.lit(0)) > 0, F.concat(F.replace(F.format_string("%.1f", rate / 1000.0), F.lit(".0"), F.lit("")), F.lit(" kHz")))
+    bits = F.when(F.coalesce(depth, F.lit(0)) > 0, F.concat(depth.cast("string"), F.lit("-bit")))
+    full = F.concat_ws(" / ", khz, bits)
+    kbps = F.bround(F.coalesce(bitrate, F.lit(0)) / 1000.0).cast("int")
+    known = F.when(F.coalesce(lossless, F.lit(False)), F.rtrim(F.concat_ws(" ", codec, full))).when(kbps > 0, F.concat(codec, F.lit(" "), kbps.cast("string"), F.lit(" kbps"))).otherwise(codec)
+    return F.when(F.coalesce(exists, F.lit(False)), known).otherwise("file not found")
+
+
+def work_label(tags: Column, cues: Column, comment: Column, rating: Column) -> Column:
+    """What work a copy carries, in words: '2 tags, 3 cues, a comment, a rating'."""
+    n = F.greatest(F.size(tags), F.lit(0))
+    return F.concat_ws(", ", F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, " tag").otherwise(" tags"))), F.when(F.coalesce(cues, F.lit(0)) > 0, F.concat(cues.cast("string"), F.lit(" cues"))), F.when(F.coalesce(comment, F.lit("")) != "", "a comment"), F.when(F.coalesce(rating, F.lit(0)) != 0, "a rating"))
+
+
 def duration_label(seconds: Column) -> Column:
     """m:ss, or a dash for null and zero."""
     s = F.round(seconds).cast("int")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from setlore.functions.music import normalize_key, tempo
 from setlore.functions.text import comment_energy, fold, split_genres
+from setlore.operators.measures import global_rank
+from setlore.session import materialise
 
 
 def live_tags(song_tag: DataFrame, tag: DataFrame) -> DataFrame:
@@ -68,15 +70,35 @@ def view(track: DataFrame) -> DataFrame:
     )
 
 
-def tree_paths(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, path, depth): names from the root joined by ' / '. A recursive query; it fails on nodes deeper than `depth`, so a cycle ends."""
-    nodes.createOrReplaceTempView("setlore_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(id, path, depth) AS (
-            SELECT id, name, 0 FROM setlore_nodes WHERE parent_id IS NULL
-            UNION ALL
-            SELECT n.id, concat(w.path, ' / ', n.name), w.depth + 1 FROM setlore_nodes n JOIN walk w ON n.parent_id = w.id WHERE w.depth <= {depth})
-        SELECT id, path, depth FROM walk WHERE if(depth > {depth}, CAST(raise_error('the tree is deeper than {depth} levels') AS BOOLEAN), true)""")
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(id, path, depth): names from the root joined by ' / ', for trees of any depth.
+
+    nodes: id, name, parent_id, one row an id. Paths double in length each round, by a join with the table
+    itself, so a tree of depth d takes log d rounds. A node without parent, or whose parent is not in the table, is a root.
+    Nodes on a cycle and below one have no root and no row; a round in which no node reaches its root tells them.
+    """
+    known = nodes.select(F.col("id").alias("parent_id")).distinct().withColumn("there", F.lit(True))
+    start = nodes.select("id", "name", "parent_id").join(known, "parent_id", "left").select("id", F.col("name").alias("path"), F.when(F.col("there"), F.col("parent_id")).alias("up"), F.lit(0).alias("depth"))
+    rows, before = materialise(start), None
+    while True:
+        open_ = rows.where("up is not null").count()
+        if not open_ or open_ == before:
+            return rows.where("up is null").select("id", "path", "depth")
+        above = rows.select(F.col("id").alias("up"), F.col("path").alias("path2"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        joined = rows.join(above, "up", "left")
+        rows, before = materialise(joined.select("id", F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat_ws(" / ", "path2", "path")).alias("path"), F.col("up2").alias("up"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("depth2") + 1).alias("depth"))), open_
+
+
+def next_in_order(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """df with `next`: the id of the row that follows in its group, the first one after the last.
+
+    order: a total order within the group. The table is range-partitioned by (group, order), so a group that
+    holds most rows is spread; the follower is found by its place.
+    """
+    ranked = materialise(global_rank(df, [F.col(group).asc(), *order], "i"))
+    after = ranked.select((F.col("i") - 1).alias("i"), F.col(group), F.col("id").alias("after"))
+    first = ranked.groupBy(group).agg(F.min(F.struct("i", "id")).alias("first")).select(group, "first.id")
+    return ranked.join(after, ["i", group], "left").join(first.withColumnRenamed("id", "first"), group).withColumn("next", F.coalesce("after", "first")).drop("i", "after", "first")
 
 
 def tally(df: DataFrame, key: Column, name: str) -> DataFrame:

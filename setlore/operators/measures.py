@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from setlore.session import materialise
+
 # Shares of the anchor and of the tags in an energy score, and the least tracks of a tag.
 ANCHOR = {"bpm": 0.72, "dens": 0.28}
 TAG_SHARE = 0.55
@@ -45,14 +50,14 @@ def energy_scores(anchored: DataFrame, weights: DataFrame) -> DataFrame:
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its 0-based place in a total order, without gathering it in one partition.
 
-    Rows are range-partitioned by the order and numbered inside their partition; the partitions' sizes,
-    one row each, are added up and joined back.
+    Rows are range-partitioned by the order, sorted and stored once with the place inside their partition; the
+    partitions' sizes, one row each, are added up and joined back. Nothing is partitioned twice.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
-    inside = placed.withColumn("at_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1)
-    sizes = placed.groupBy("part_").agg(F.count("*").alias("size_"))
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    part = F.shiftright("at_", 33)
+    sizes = placed.groupBy(part.alias("part_")).agg(F.count("*").alias("size_"))
     before = sizes.select("part_", F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    return inside.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("at_")).drop("part_", "at_", "before_")
+    return placed.withColumn("part_", part).join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).drop("part_", "at_", "before_")
 
 
 def deciles(scored: DataFrame) -> DataFrame:
@@ -65,13 +70,25 @@ def deciles(scored: DataFrame) -> DataFrame:
 def ranked_auc(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """(auc): the probability that a random yes scores above a random no, ties half; null if a class is empty.
 
-    Distinct scores are counted first, so the ordered window sees each score once.
+    Distinct scores are counted and range-partitioned; each partition adds up its own pairs and reports one
+    row, and only these rows meet in one window.
     """
-    counts = df.select(score.alias("s"), label.cast("int").alias("y")).where("s is not null and y is not null").groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    placed = global_rank(counts, [F.col("s")], "i")
-    w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    below = placed.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    sums = below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    counts = df.select(score.cast("double").alias("s"), label.cast("int").alias("y")).where("s is not null and y is not null").groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        low, pos, neg, pairs = None, 0, 0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                p, n = batch["pos"].to_numpy().astype(float), batch["neg"].to_numpy().astype(float)
+                low = batch["s"][0].as_py() if low is None else low
+                pairs += float((p * (neg + n.cumsum() - n / 2)).sum())
+                pos, neg = pos + int(p.sum()), neg + int(n.sum())
+        if low is not None:
+            yield pa.RecordBatch.from_pydict({"low": [low], "pos": [pos], "neg": [neg], "pairs": [pairs]})
+
+    parts = counts.repartitionByRange("s").sortWithinPartitions("s").mapInArrow(add_up, "low double, pos long, neg long, pairs double")
+    below = F.coalesce(F.sum("neg").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = parts.withColumn("below", below).agg(F.sum(F.col("pairs") + F.col("pos") * F.col("below")).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(F.try_divide("u", F.col("p").cast("double") * F.col("n")).alias("auc"))
 
 

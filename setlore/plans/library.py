@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlore.functions.text import duration_label, is_branding
+from setlore.functions.text import SHOP_TEXT, duration_label, is_branding
 from setlore.operators import library as op
 from setlore.tables import load
 
@@ -33,7 +33,10 @@ def tag_groups(s: SparkSession, d: str) -> DataFrame:
 
 
 def tree_paths(s: SparkSession, d: str) -> DataFrame:
-    return op.tree_paths(load(s, d, "tag").select("id", "name", "parent_id"))
+    """Every node of the tag tree with its path and kind."""
+    tag = load(s, d, "tag")
+    kind = F.when(F.col("attribute") == 1, "folder").when(F.col("attribute") == 4, "smart").otherwise("list")
+    return op.tree_paths(tag).join(tag.select("id", kind.alias("kind")), "id")
 
 
 def _played(s: SparkSession, d: str) -> DataFrame:
@@ -109,9 +112,7 @@ def browse_newest(s: SparkSession, d: str) -> DataFrame:
 def triage_next(s: SparkSession, d: str) -> DataFrame:
     """For every track of a colour's queue, newest first, the next one; the last one wraps to the newest."""
     queue = load(s, d, "track_view").where("color is not null and color <> ''").select("color", "id", F.coalesce("added", F.lit("")).alias("added"))
-    w = Window.partitionBy("color").orderBy(F.desc("added"), F.desc("id"))
-    first = F.first("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return queue.select("color", "id", F.coalesce(F.lead("id").over(w), first).alias("next"))
+    return op.next_in_order(queue, "color", [F.desc("added"), F.desc("id")]).select("color", "id", "next")
 
 
 def durations(s: SparkSession, d: str) -> DataFrame:
@@ -167,7 +168,8 @@ ORACLES = {
     "playlists_in_order": """SELECT playlist, row_number() OVER (PARTITION BY playlist ORDER BY place, track) AS pos, track FROM (
         SELECT p.id AS playlist, id AS track, min(coalesce(p.trackno, 0)) AS place FROM (SELECT id, unnest(playlists) AS p FROM track) GROUP BY ALL)""",
     "tag_groups": """SELECT g.name AS bank, g.seq AS bank_seq, coalesce(string_agg(t.name, '|' ORDER BY t.seq, t.name), '') AS tags FROM tag g LEFT JOIN tag t ON t.parent_id = g.id AND t.attribute = 0 WHERE g.attribute = 1 GROUP BY g.id, g.name, g.seq""",
-    "tree_paths": """WITH RECURSIVE walk AS (SELECT id, name AS path, 0 AS depth FROM tag WHERE parent_id IS NULL UNION ALL SELECT n.id, w.path || ' / ' || n.name, w.depth + 1 FROM tag n JOIN walk w ON n.parent_id = w.id WHERE w.depth < 16) SELECT id, path, depth FROM walk""",
+    "tree_paths": """WITH RECURSIVE walk AS (SELECT id, name AS path, 0 AS depth FROM tag WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM tag) UNION ALL SELECT n.id, w.path || ' / ' || n.name, w.depth + 1 FROM tag n JOIN walk w ON n.parent_id = w.id)
+        SELECT id, path, depth, CASE attribute WHEN 1 THEN 'folder' WHEN 4 THEN 'smart' ELSE 'list' END AS kind FROM walk JOIN tag USING (id)""",
     "session_transitions": f"SELECT * FROM {TRANSITIONS}",
     "last_seen": f"SELECT content, max(day) AS last FROM {PLAYED} WHERE day <> '' GROUP BY 1",
     "history_merge": f"SELECT * FROM {TRANSITIONS}",
@@ -185,7 +187,7 @@ ORACLES = {
     "browse_newest": "SELECT id, coalesce(added, '') AS added, coalesce(imported, '') AS imported FROM track_view ORDER BY 2 DESC, 3 DESC, id LIMIT 60",
     "triage_next": "SELECT color, id, coalesce(lead(id) OVER w, first_value(id) OVER w) AS next FROM (SELECT color, id, coalesce(added, '') AS added FROM track_view WHERE color <> '') WINDOW w AS (PARTITION BY color ORDER BY added DESC, id DESC)",
     "durations": "SELECT id, CASE WHEN coalesce(rb_length, 0) = 0 THEN '—' ELSE (rb_length // 60)::VARCHAR || ':' || lpad((rb_length % 60)::VARCHAR, 2, '0') END AS label FROM track",
-    "branding": r"""SELECT coalesce(source, '(none)') AS source, count(*) AS n, sum((regexp_matches(coalesce(text, ''), '(?i)\b(?:https?://|www\.)|\b[a-z0-9-]+\.(?:com|net|org|io|co)\b') OR regexp_matches(coalesce(text, ''), '(?i)music\s*master|whoplay|electronicfresh|djsoundtop|beatport\s+top\s+\d+|dj\s*pool|promo\s*only|bpm\s*supreme|club\s*killers|crate\s*connect|samplefocus|ytbmp3|downloaded\s+from'))::INT)::BIGINT AS branded FROM documents GROUP BY 1""",
+    "branding": r"""SELECT coalesce(source, '(none)') AS source, count(*) AS n, sum((regexp_matches(coalesce(text, ''), '(?i)\b(?:https?://|www\.)|\b[a-z0-9-]+\.(?:com|net|org|io|co)\b') OR regexp_matches(coalesce(text, ''), 'SHOPS'))::INT)::BIGINT AS branded FROM documents GROUP BY 1""".replace("SHOPS", SHOP_TEXT),
     "access_buckets": """SELECT CASE WHEN p."exists" THEN 'ok' WHEN p."exists" IS NULL THEN 'unknown' ELSE 'missing' END AS state, regexp_extract(t.path, '^(/[^/]+/[^/-]+)', 1) AS place, count(*) AS n, min(t.path) AS example
         FROM track t LEFT JOIN (SELECT DISTINCT path, "exists" FROM probe) p ON p.path = t.path WHERE t.path LIKE '/%' GROUP BY 1, 2""",
     "majority_flag": "SELECT ext, rb_rate AS rate, count(*) AS n FROM track WHERE rb_rate IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY ext ORDER BY count(*) DESC, rb_rate) = 1",

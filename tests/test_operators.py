@@ -170,8 +170,25 @@ def test_words_in_brackets_and_live_block(spark):
     assert {(r.aid, r.id) for r in matching.blocked_matches(asked, library).collect()} == {("a", "1"), ("b", "2"), ("c", "3")}
 
 
-def test_tree_paths_drop_no_level(spark):
-    chain = spark.createDataFrame([(str(i), f"N{i}", str(i - 1) if i else None) for i in range(6)], "id string, name string, parent_id string")
-    assert library.tree_paths(chain, depth=5).count() == 6
-    with pytest.raises(Exception, match="deeper than 4 levels"):
-        library.tree_paths(chain, depth=4).count()
+def test_tree_paths_of_any_depth(spark):
+    chain = spark.createDataFrame([(str(i), f"N{i}", str(i - 1) if i else None) for i in range(150)] + [("o", "Orphan", "gone")], "id string, name string, parent_id string")
+    got = {r.id: (r.path, r.depth) for r in library.tree_paths(chain).collect()}
+    assert len(got) == 151 and got["149"] == (" / ".join(f"N{i}" for i in range(150)), 149) and got["o"] == ("Orphan", 0)
+    assert library.tree_paths(chain.limit(0)).count() == 0
+
+
+def test_next_in_order_wraps(spark):
+    rows = [(f"{i:03}", "red" if i % 3 else "blue", i * 7 % 50) for i in range(60)] + [("x", "green", 1)]
+    df = spark.createDataFrame(rows, "id string, color string, added int")
+    got = {r.id: r.next for r in library.next_in_order(df, "color", [F.desc("added"), F.desc("id")]).collect()}
+    for color in ("red", "blue", "green"):
+        order = [r[0] for r in sorted((r for r in rows if r[1] == color), key=lambda r: (r[2], r[0]), reverse=True)]
+        assert [got[i] for i in order] == order[1:] + order[:1]
+
+
+def test_auc_over_many_scores(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(2), rng.choice([round(rng.random(), 2), rng.random()])) for _ in range(400)]
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert measures.ranked_auc(spark.createDataFrame(rows, "y int, p double"), F.col("y"), F.col("p")).first()[0] == pytest.approx(want)
