@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setlore.functions.music import key_moves
 from setlore.functions.text import genre_family
+from setlore.session import materialise
 
 #: Evidence at which half of a lift is believed.
 CONFIDENCE = 8.0
@@ -93,24 +96,24 @@ def feel_fit(view: DataFrame, feel: dict[str, DataFrame], mood: str) -> DataFram
 def candidates(view: DataFrame, chosen: DataFrame, lift: DataFrame, kinds: DataFrame, type_bank: str, banks: tuple[str, ...], recent: int = 3) -> DataFrame:
     """(id, artist, score, reason): how well each track continues a set.
 
-    chosen: (pos, id), the set in order, at most a few hundred rows. lift and kinds: transition_lift and
-    type_lift. Flow is the weighted lift from the tags of the last `recent` tracks, party that of the
+    chosen: (pos, id), the set in order. lift and kinds: transition_lift and type_lift. Flow is the weighted lift from the tags of the last `recent` tracks, party that of the
     kinds of the set, fresh the share of tags not in the set yet; key moves add, tempo gaps scale.
     """
     spark = view.sparkSession
     ordered = chosen.withColumn("back", F.row_number().over(Window.orderBy(F.desc("pos"))))
     size = chosen.agg(F.least(F.count("*"), F.lit(recent)).alias("k"))
-    in_set = view.join(F.broadcast(chosen.select("id")), "id", "left_semi")
+    in_set = view.join(chosen.select("id"), "id", "left_semi")
     tags_of_set = tag_pairs(in_set, banks)
     near = ordered.where(F.col("back") <= recent).crossJoin(F.broadcast(size)).select("id", ((F.col("k") - F.col("back") + 1) / F.col("k")).alias("w"))
-    leads = tags_of_set.join(near, "id").groupBy("tag").agg(F.sum("w").alias("w")).select(F.col("tag").alias("tag_a"), "w")
-    flow = lift.join(F.broadcast(leads), "tag_a").select("tag_a", F.col("tag_b").alias("tag"), (F.col("lift") * F.col("w")).alias("v"))
-    reason = flow.groupBy("tag").agg(F.sum("v").alias("flow"), F.max(F.struct("v", "tag_a")).alias("top"))
-    party = kinds.join(F.broadcast(set_weights(in_set, type_bank)), "kind").groupBy("tag").agg(F.sum(F.col("lift") * F.col("weight")).alias("party"))
+    # the flow of a tag adds up over the tracks that carry it; the reason is the best single track and tag
+    leads = tags_of_set.join(near, "id").groupBy("tag").agg(F.sum("w").alias("w"), F.max("w").alias("most"), F.min("w").alias("least")).withColumnRenamed("tag", "tag_a")
+    flow = lift.join(leads, "tag_a").select("tag_a", F.col("tag_b").alias("tag"), (F.col("lift") * F.col("w")).alias("v"), F.greatest(F.col("lift") * F.col("most"), F.col("lift") * F.col("least")).alias("single"))
+    reason = flow.groupBy("tag").agg(F.sum("v").alias("flow"), F.max(F.struct(F.col("single").alias("v"), "tag_a")).alias("top"))
+    party = kinds.join(set_weights(in_set, type_bank), "kind").groupBy("tag").agg(F.sum(F.col("lift") * F.col("weight")).alias("party"))
     seen = tags_of_set.select("tag").distinct().withColumn("seen", F.lit(1))
     last = ordered.where("back = 1").select("id").join(view.select("id", F.col("bpm").alias("last_bpm"), F.col("key").alias("last_key")), "id").drop("id")
-    pool = view.join(F.broadcast(chosen.select("id")), "id", "left_anti")
-    tagged = tag_pairs(pool, banks).join(F.broadcast(reason), "tag", "left").join(F.broadcast(party), "tag", "left").join(F.broadcast(seen), "tag", "left")
+    pool = view.join(chosen.select("id"), "id", "left_anti")
+    tagged = tag_pairs(pool, banks).join(reason, "tag", "left").join(party, "tag", "left").join(seen, "tag", "left")
     scored = tagged.groupBy("id").agg(
         (F.coalesce(F.sum("flow"), F.lit(0.0)) / F.count("*")).alias("flow"), (F.coalesce(F.sum("party"), F.lit(0.0)) / F.count("*")).alias("party"),
         (F.sum(F.when(F.col("seen").isNull(), 1).otherwise(0)) / F.count("*")).alias("fresh"), F.max(F.struct("top.v", "top.tag_a", "tag")).alias("best"),
@@ -127,28 +130,32 @@ def candidates(view: DataFrame, chosen: DataFrame, lift: DataFrame, kinds: DataF
     return rows.where(near_enough).select("id", "artist", F.round(score, 4).alias("score"), F.when(F.col("best.v").isNotNull(), F.concat_ws(">", "best.tag_a", "best.tag")).alias("reason"))
 
 
-def diverse(ranked: DataFrame, limit: int = 40, per_artist: int = 2, per_reason: int = 3, top: int = 2000) -> DataFrame:
+def diverse(ranked: DataFrame, limit: int = 40, per_artist: int = 2, per_reason: int = 3) -> DataFrame:
     """(pos, id): a walk down the ranking that takes a row while its artist and its reason have room.
 
-    Only taken rows use up room, so this is a fold, not two row numbers. The fold runs inside one
-    expression over the best `top` rows; should they not fill `limit`, all rows are folded.
+    Only taken rows use up room, so this is a walk, not two row numbers. Room never comes back: of the rows of
+    one artist and one reason the taken ones are the first, `per_artist` at most, so the others are cut before
+    anything is ordered. The rest is walked in pages of 4 * limit rows; artists and reasons without room are
+    left out of the next page, so there are at most as many pages as artists and reasons that fill up, and the
+    driver holds one page.
     """
-    order = F.struct((-F.col("score")).alias("rank"), "id", "artist", F.coalesce("reason", F.lit("")).alias("reason"))
-
-    def fold(rows: DataFrame) -> DataFrame:
-        start = F.array().cast("array<struct<id:string,artist:string,reason:string>>")
-
-        def take(kept: Column, x: Column) -> Column:
-            by_artist = F.size(F.filter(kept, lambda k: k["artist"] == x["artist"]))
-            by_reason = F.size(F.filter(kept, lambda k: k["reason"] == x["reason"]))
-            room = (F.size(kept) < limit) & (by_artist < per_artist) & ((x["reason"] == "") | (by_reason < per_reason))
-            return F.when(room, F.concat(kept, F.array(F.struct(x["id"].alias("id"), x["artist"].alias("artist"), x["reason"].alias("reason"))))).otherwise(kept)
-
-        picked = rows.agg(F.aggregate(F.array_sort(F.collect_list(order)), start, take).alias("kept"))
-        return picked.select(F.posexplode("kept").alias("pos", "k")).select((F.col("pos") + 1).alias("pos"), F.col("k.id").alias("id"))
-
-    best = ranked.orderBy(F.desc("score"), "id").limit(top)
-    found = fold(best)
-    if ranked.limit(top + 1).count() <= top or found.count() >= limit:
-        return found
-    return fold(ranked)
+    reason = F.coalesce("reason", F.lit(""))
+    best = Window.partitionBy("artist", reason).orderBy(F.desc("score"), "id")
+    rows = materialise(ranked.select("id", F.coalesce("artist", F.lit("")).alias("artist"), "score", reason.alias("reason")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_artist).drop("r"))
+    taken: list[tuple[int, str]] = []
+    artists, reasons, last = Counter(), Counter(), None
+    while len(taken) < limit:
+        full_artists, full_reasons = [a for a, n in artists.items() if n >= per_artist], [r for r, n in reasons.items() if r and n >= per_reason]
+        left = rows.where(~F.col("artist").isin(full_artists) & ~F.col("reason").isin(full_reasons))
+        if last is not None:
+            left = left.where((F.col("score") < last[0]) | ((F.col("score") == last[0]) & (F.col("id") > last[1])))
+        page = left.orderBy(F.desc("score"), "id").limit(4 * limit).collect()
+        for r in page:
+            if len(taken) < limit and artists[r.artist] < per_artist and (not r.reason or reasons[r.reason] < per_reason):
+                artists[r.artist] += 1
+                reasons[r.reason] += 1
+                taken.append((len(taken) + 1, r.id))
+        if len(page) < 4 * limit:
+            break
+        last = (page[-1].score, page[-1].id)
+    return ranked.sparkSession.createDataFrame(taken, "pos int, id string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setlore.operators.measures import logistic, predicted, ranked_auc
@@ -95,3 +95,42 @@ def next_questions(predictions: DataFrame, answers: int, every: int = 5, near: i
     """What to ask next: the surest row after every fifth answer, else the ten nearest to one half."""
     order = [F.desc("p"), F.col("id")] if answers and answers % every == 0 else [F.abs(F.col("p") - 0.5), F.col("id")]
     return predictions.orderBy(*order).limit(1 if answers and answers % every == 0 else near)
+
+
+def last_answers(log: DataFrame) -> DataFrame:
+    """(id, seq, answer) of a log (id, seq, answer): the last answer about each track; 'forget' takes back all before it."""
+    last = log.groupBy("id").agg(F.max(F.struct("seq", "answer")).alias("m")).select("id", "m.seq", "m.answer")
+    return last.where("answer <> 'forget'")
+
+
+def curve(points: DataFrame, most: int = 200) -> DataFrame:
+    """(at, n, score) of a history (at, n, score): points at which the count or the score changed, those that a later point undercuts left out, the newest `most`.
+
+    A history is the listing of one lesson, a bounded one.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy("at")
+    changed = points.withColumns({"n0": F.lag("n").over(w), "s0": F.lag("score").over(w)}).where(F.col("n0").isNull() | (F.col("n") != F.col("n0")) | (F.col("score") != F.col("s0")))
+    after = F.min("n").over(w.rowsBetween(1, Window.unboundedFollowing))
+    return changed.withColumn("after", after).where(F.col("after").isNull() | (F.col("n") < F.col("after"))).orderBy(F.desc("at")).limit(most).select("at", "n", "score")
+
+
+def ranked_library(scored: DataFrame, confirmed: DataFrame, tagged: DataFrame, most: int = 300) -> DataFrame:
+    """(id, p, mark): the best `most` of (id, p), and every confirmed track that is not tagged yet, however low it ranks.
+
+    confirmed: (id, mark), mark 'yes' or 'no'; tagged: (id).
+    """
+    best = scored.orderBy(F.desc("p"), "id").limit(most)
+    must = confirmed.where("mark = 'yes'").select("id").join(tagged.select("id"), "id", "left_anti")
+    rows = best.unionByName(scored.join(must, "id", "left_semi")).dropDuplicates(["id"])
+    return rows.join(confirmed.select("id", "mark"), "id", "left").select("id", "p", "mark")
+
+
+def verdict(auc: Column, yes: Column, no: Column, proxy: Column) -> Column:
+    """How far a lesson's ranking can be trusted (L09): 'too-few', 'early', 'weak', 'rough', 'useful', 'strong'."""
+    judged = F.when(F.least(yes, no) < 10, "early").when(auc >= 0.9, "strong").when(auc >= 0.8, "useful").when(auc >= 0.7, "rough").otherwise("weak")
+    return F.when(auc.isNull(), "too-few").when(proxy, F.when(auc >= 0.8, "useful").otherwise("rough")).otherwise(judged)
+
+
+def order_verdict(share: Column, pairs: Column) -> Column:
+    """The same for comparisons, by the share of pairs that are predicted."""
+    return F.when(share.isNull(), "too-few").when(pairs < 15, "early").when(share >= 0.8, "strong").when(share >= 0.65, "useful").otherwise("weak")

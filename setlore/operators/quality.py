@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setlore.functions.text import primary_artist, split_title
+from setlore.functions.text import norm_text, primary_artist, split_title
 
 #: Copies whose lengths differ by no more seconds are one recording; shorter and longer ones than these are clips and full tracks.
 SAME_LENGTH, SHORT_CLIP, FULL_TRACK = 3.0, 30.0, 60.0
@@ -47,10 +47,15 @@ def readable(ext: Column, codec: Column) -> Column:
     return F.lower(ext).isin(*DEVICES[-1][1]) & ~(F.lower(ext).isin(".m4a", ".mp4") & F.coalesce(codec == "ALAC", F.lit(False)))
 
 
-def keyed(track: DataFrame) -> DataFrame:
-    """track with its duplicate key (artist, base, version); rows without a base title are left out."""
+def with_key(track: DataFrame) -> DataFrame:
+    """track with its duplicate key (artist, base, version); the base is '' where the title has none."""
     base, version = split_title(F.col("title"))
-    return track.withColumns({"k_artist": primary_artist(F.col("artist")), "k_base": base, "k_version": version}).where("k_base <> ''")
+    return track.withColumns({"k_artist": primary_artist(F.col("artist")), "k_base": base, "k_version": version})
+
+
+def keyed(track: DataFrame) -> DataFrame:
+    """track with its duplicate key; rows without a base title are left out."""
+    return with_key(track).where("k_base <> ''")
 
 
 KEY = ("k_artist", "k_base", "k_version")
@@ -104,6 +109,105 @@ def merge_plan(track: DataFrame, groups: DataFrame) -> DataFrame:
     return top.join(gained("tags"), "best", "left").join(gained("lists"), "best", "left").select("best", F.coalesce("tags", zero).alias("tags"), F.coalesce("lists", zero).alias("playlists"), F.when(F.col("other") > F.col("own"), F.col("other")).otherwise(0).alias("rating"))
 
 
+def merge_sets(track: DataFrame, groups: DataFrame) -> DataFrame:
+    """(best, kind, id, name): the tags and playlists that the best copy of each group would gain from the others, each once."""
+    rows = keyed(track).join(groups.select(*KEY, "best"), list(KEY))
+    item = lambda kind, column: F.transform(F.coalesce(column, F.array().cast("array<struct<id:string,name:string>>")), lambda x: F.struct(F.lit(kind).alias("kind"), x["id"].alias("id"), x["name"].alias("name")))
+    cut = lambda column: F.transform(column, lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
+    each = rows.select("best", (F.col("id") == F.col("best")).alias("own"), F.explode(F.concat(item("tag", cut("mytags")), item("playlist", cut("playlists")))).alias("x"))
+    return each.groupBy("best", "x.kind", "x.id").agg(F.max("own").alias("has"), F.min("x.name").alias("name")).where("not has").select("best", "kind", "id", "name")
+
+
+def ordered_groups(groups: DataFrame, hidden: DataFrame | None = None, limit: int = 200) -> DataFrame:
+    """(pos, *KEY, verdict): the first groups by verdict, artist and title; hidden: keys that were marked as no duplicates."""
+    order = F.create_map(*[F.lit(x) for pair in (("identical", 0), ("duplicate", 1), ("review", 2), ("mistagged", 3)) for x in pair])[F.col("verdict")]
+    shown = groups if hidden is None else groups.join(hidden, list(KEY), "left_anti")
+    first = shown.select(*KEY, "verdict", order.alias("o")).orderBy("o", *KEY).limit(limit)
+    return first.select(F.row_number().over(Window.orderBy("o", *KEY)).alias("pos"), *KEY, "verdict")
+
+
+def held_files(files: DataFrame, library: DataFrame) -> DataFrame:
+    """(path, how, orig): what the library holds of files that it does not use: 'identical' or 'same', with the library's path.
+
+    files: path, size, digest (of samples of the content, null if unread), artist, title, seconds; library:
+    path, size, digest, artist, title, rb_length, id. A file is identical if size and digest agree; the same if its
+    length is within three seconds and it has the duplicate key, or else the file name, of a library track.
+    Files at a path of the library are used and left out. Of several the smallest library path is given. Every rule is an equi-join on
+    keys of distinct library rows reduced to one a (key, length), so a hot key costs no pairs of rows.
+    """
+    stem = lambda c: norm_text(F.regexp_extract(c, r"([^/]*?)(\.[^./]*)?$", 1))
+    loose = files.join(library.select("path"), "path", "left_anti")
+    exact = library.where("digest is not null").groupBy("size", "digest").agg(F.min("path").alias("exact"))
+    loose = loose.join(exact, ["size", "digest"], "left")
+    rest = loose.where("exact is null and seconds is not null")
+    timed = library.where("coalesce(rb_length, 0) > 0")
+    by_key = keyed(timed).select(F.concat_ws("\x1f", F.lit("k"), *KEY).alias("k"), "rb_length", "path")
+    by_stem = timed.select(F.concat(F.lit("s\x1f"), stem(F.col("path"))).alias("k"), "rb_length", "path")
+    known = by_key.unionByName(by_stem).groupBy("k", "rb_length").agg(F.min("path").alias("orig"))
+    near = F.sequence(F.ceil(F.col("seconds") - SAME_LENGTH).cast("int"), F.floor(F.col("seconds") + SAME_LENGTH).cast("int"))
+    k = F.when(F.col("k_base") != "", F.concat_ws("\x1f", F.lit("k"), *KEY))
+    asks = with_key(rest).select("path", F.explode(F.array_compact(F.array(k, F.concat(F.lit("s\x1f"), stem(F.col("path")))))).alias("k"), near.alias("near")).select("path", "k", F.explode("near").alias("rb_length"))
+    found = asks.join(known, ["k", "rb_length"]).groupBy("path").agg(F.min(F.struct((F.substring("k", 1, 1) == "s").alias("by"), "orig")).alias("m")).select("path", F.lit("same").alias("how"), F.col("m.orig").alias("orig"))
+    return loose.where("exact is not null").select("path", F.lit("identical").alias("how"), F.col("exact").alias("orig")).unionByName(found)
+
+
+def same_recordings(rows: DataFrame) -> DataFrame:
+    """(id, class_id, links) of rows (id, rb_length, *KEY): the tracks under one key that a chain of lengths within three seconds joins.
+
+    links: how many others lie within three seconds; rows without any are left out. class_id: the smallest id of the chain.
+    Rows are counted by (key, whole length) first, so the windows see each length of a key once.
+    """
+    counts = rows.groupBy(*KEY, "rb_length").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    w = Window.partitionBy(*KEY).orderBy("rb_length")
+    reach = int(SAME_LENGTH)
+    marked = counts.withColumn("around", F.sum("n").over(w.rangeBetween(-reach, reach))).withColumn("starts", (F.col("rb_length") - F.coalesce(F.lag("rb_length").over(w), F.col("rb_length") - reach - 1) > reach).cast("int"))
+    chained = marked.withColumn("chain", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    classes = chained.withColumn("class_id", F.min("low").over(Window.partitionBy(*KEY, "chain"))).where("around > 1")
+    return rows.join(classes.select(*KEY, "rb_length", "class_id", (F.col("around") - 1).alias("links")), [*KEY, "rb_length"]).select("id", "class_id", "links")
+
+
+def space_check(track: DataFrame, probe: DataFrame, free: float, keep: bool = True) -> DataFrame:
+    """(state, n, bytes, need, fits): what a conversion of the lossless files in .flac would do.
+
+    'todo', 'gone' (the file does not exist) or 'taken' (a file with the target's name exists). need: 1.55 of
+    the bytes if the originals are kept, else 0.55; fits: does that go into 95 % of the free bytes.
+    """
+    there = probes(probe).where("exists").select("path", F.col("size").alias("fsize"))
+    target = F.lower(F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit(".aiff")))
+    names = there.select(F.lower("path").alias("target"), F.lit(True).alias("taken")).distinct()
+    rows = track.where(F.lower("ext") == ".flac").select("path", target.alias("target")).join(there, "path", "left").join(names, "target", "left")
+    state = F.when(F.col("fsize").isNull(), "gone").when(F.col("taken"), "taken").otherwise("todo")
+    sums = rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.coalesce(F.sum("fsize"), F.lit(0)).alias("bytes"))
+    need = F.when(F.col("state") == "todo", F.col("bytes") * (1.55 if keep else 0.55)).otherwise(0.0)
+    return sums.select("state", "n", "bytes", F.round(need, 2).alias("need"), (need <= free * 0.95).alias("fits"))
+
+
+def paths_found(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(path, id, live): the row of the library for each wanted path, case ignored, a live one before a deleted one, then the smallest id."""
+    known = rows.select(F.lower("path").alias("low"), "id", "live").groupBy("low").agg(F.min(F.struct((~F.col("live")).alias("dead"), "id")).alias("m"))
+    return wanted.select("path", F.lower("path").alias("low")).join(known, "low", "left").select("path", "m.id", (~F.col("m.dead")).alias("live"))
+
+
+def file_identity(df: DataFrame) -> DataFrame:
+    """df with `identity`: device and inode where known, else the path in lower case (J19). Rows of one identity are one file."""
+    return df.withColumn("identity", F.when(F.col("dev").isNotNull() & F.col("ino").isNotNull(), F.concat_ws(":", F.lit("fs"), "dev", "ino")).otherwise(F.concat(F.lit("path:"), F.lower("path"))))
+
+
+def missing_artwork(track: DataFrame, candidates: DataFrame, queued: DataFrame, floor: float = 0.55, limit: int = 4) -> DataFrame:
+    """(id, looked, queued, best, n): tracks without artwork, whether candidates were looked for and how good they are.
+
+    track: id, image; candidates: id, url, score, compilation, same_version; queued: id. A url counts once,
+    below the floor none; the first `limit` by score, no compilation, same version.
+    """
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "compilation", F.desc("same_version"), "url")
+    once = candidates.groupBy("id", "url").agg(F.max("score").alias("score"), F.min("compilation").alias("compilation"), F.max("same_version").alias("same_version")).where(F.col("score") >= floor)
+    kept = once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).groupBy("id").agg(F.count("*").alias("n"), F.min(F.when(F.col("r") == 1, F.col("url"))).alias("best"))
+    looked = candidates.select("id", F.lit(True).alias("looked")).distinct()
+    waiting = queued.select("id", F.lit(True).alias("queued")).distinct()
+    rows = track.where(F.coalesce("image", F.lit("")) == "").select("id").join(looked, "id", "left").join(waiting, "id", "left").join(kept, "id", "left")
+    return rows.select("id", F.coalesce("looked", F.lit(False)).alias("looked"), F.coalesce("queued", F.lit(False)).alias("queued"), "best", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def devices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(d[0], list(d[1]), *d[2:]) for d in DEVICES], "device string, formats array<string>, alac boolean, max_bits int, max_rate int, doubt_bits int")
 
@@ -125,14 +229,15 @@ def verdicts(track: DataFrame, probe: DataFrame) -> DataFrame:
 
 
 def bands(track: DataFrame, probe: DataFrame) -> DataFrame:
-    """(band, n): lossy files by bitrate; clips under a minute, lossless and unknown ones apart, those over 320 as 'above'."""
+    """(band, n): lossy files by bitrate; clips under a minute, lossless and unknown ones apart. 'total' counts all but the clips, those over 320 kbps too, which have no band."""
     rows = measured(track, probe)
     seconds = F.coalesce(F.nullif("duration", F.lit(0.0)), F.col("rb_length").cast("double"), F.lit(0.0))
     kbps = F.round(F.coalesce("bitrate", F.lit(0)) / 1000)
     band = F.when(seconds < FULL_TRACK, "clips").when(F.coalesce("lossless", F.lit(False)), "lossless").when(kbps == 0, "unknown")
     for top, name in BANDS:
         band = band.when(kbps <= top, name)
-    return rows.groupBy(band.otherwise("above").alias("band")).agg(F.count("*").alias("n"))
+    each = rows.select(F.explode(F.array_compact(F.array(band, F.when(seconds >= FULL_TRACK, "total")))).alias("band"))
+    return each.groupBy("band").agg(F.count("*").alias("n"))
 
 
 def ancestors(path: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setlore.functions.music import bpm_distance, key_moves
@@ -64,7 +66,7 @@ def fix_report(cloud: DataFrame, table: DataFrame) -> DataFrame:
     """(wrong, right, n, merges): spellings to put right that occur, and how many rows have the right one already."""
     n = cloud.select(F.col("name").alias("wrong"), "n")
     have = cloud.select(F.col("name").alias("right"), F.col("n").alias("merges"))
-    return F.broadcast(table).join(n, "wrong").join(have, "right", "left").where("wrong <> right").select("wrong", "right", "n", F.coalesce("merges", F.lit(0)).alias("merges"))
+    return table.join(n, "wrong").join(have, "right", "left").where("wrong <> right").select("wrong", "right", "n", F.coalesce("merges", F.lit(0)).alias("merges"))
 
 
 def tempo_keys(df: DataFrame, bpm: str, reach: int) -> DataFrame:
@@ -89,34 +91,102 @@ def near_tempo(asked: DataFrame, pool: DataFrame, tolerance: float, on: list[str
     return met.withColumn("d", d).where((F.col("d") <= tolerance) & (F.abs(F.col("bpm") - F.col("form")) / F.col("bpm") == F.col("d"))).select("id", "other", "d", *on)
 
 
+def first_of_each(pool: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The `most` smallest `other` of every combination of `by`.
+
+    Rows that agree in `by` are equally near to anything asked, and ties go by id, so none beyond the first
+    `most` can be among the nearest `most`. Spark cuts each partition before the shuffle.
+    """
+    w = Window.partitionBy(*by).orderBy("other")
+    return pool.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= most).drop("r_")
+
+
 def key_neighbours(asked: DataFrame, view: DataFrame, tolerance: float = 0.06, limit: int = 60) -> DataFrame:
     """(id, pos, other, d): for each asked track the nearest in tempo whose key can follow; ties by id. Tracks without tempo are no neighbours."""
     moves = F.broadcast(key_moves(view.sparkSession).where("level = 1").select(F.col("src").alias("key"), F.col("dst").alias("to")))
     ways = asked.select("id", "bpm", "key").join(moves, "key").select("id", "bpm", "to")
-    pool = view.select(F.col("id").alias("other"), F.col("bpm").alias("other_bpm"), F.col("key").alias("to"))
+    pool = view.where("bpm > 0 and key <> ''").select(F.col("id").alias("other"), F.col("bpm").alias("other_bpm"), F.col("key").alias("to"))
     w = Window.partitionBy("id").orderBy(F.round("d", 9), "other")
-    near = near_tempo(ways, pool, tolerance, ["to"])
+    near = near_tempo(ways, first_of_each(pool, ["to", "other_bpm"], limit + 1), tolerance, ["to"])
     return near.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit).select("id", "pos", "other", F.round("d", 9).alias("d"))
 
 
-def suggest_tags(asked: DataFrame, view: DataFrame, floor: float = 0.45, limit: int = 60, least: int = 6, top: int = 8) -> DataFrame:
-    """(id, name, n, share): tags that many of a track's most similar tagged tracks carry and it does not.
+def similar_tracks(asked: DataFrame, pool: DataFrame, tolerance: float = 0.08, limit: int = 60) -> DataFrame:
+    """(id, other): the first `limit` tracks that share a genre or family with an asked one and lie within a tempo tolerance.
 
-    Similar: one genre or family in common and a tempo within 8 %; the same genre first, then the
-    nearer tempo, then the id; the first `limit`. Only tags of at least `floor` of them count, and only
-    where at least `least` are similar.
+    The same genre comes first, then the nearer tempo, then the id. A track without tempo is near to all, but
+    after those that are measured, and all are equally near to an asked one without.
     """
-    pool = view.where(F.exists("tags", lambda t: t.isNotNull()))
     kinds = lambda df: df.select("id", F.explode("genres").alias("g")).where("g is not null and g <> ''").select("id", F.explode(F.array(F.concat(F.lit("g:"), "g"), F.concat(F.lit("f:"), genre_family(F.col("g"))))).alias("kind")).where(F.col("kind") != f"f:{NO_FAMILY}").distinct()
-    left = kinds(asked).join(asked.select("id", "bpm"), "id")
-    right = kinds(pool).join(pool.select("id", F.col("bpm").alias("other_bpm")), "id").withColumnRenamed("id", "other")
-    met = near_tempo(left, right, 0.08, ["kind"]).groupBy("id", "other").agg(F.min("d").alias("d"), F.min(F.when(F.col("kind").startswith("g:"), 0).otherwise(1)).alias("rank"))
+    tempo = F.when(F.col("bpm") > 0, F.col("bpm")).alias("tempo")
+    left = kinds(asked).join(asked.select("id", tempo), "id")
+    right = kinds(pool).join(pool.select("id", tempo), "id").select(F.col("id").alias("other"), F.col("tempo").alias("other_bpm"), "kind")
+    classes = first_of_each(right, ["kind", "other_bpm"], limit + 1)
+    near = near_tempo(left.withColumnRenamed("tempo", "bpm"), classes, tolerance, ["kind"]).select("id", "other", "d", "kind")
+    unmeasured = left.where("tempo is not null").join(classes.where("other_bpm is null"), "kind").select("id", "other", F.lit(1.0).alias("d"), "kind")
+    everyone = left.where("tempo is null").join(first_of_each(right, ["kind"], limit + 1), "kind").select("id", "other", F.lit(1.0).alias("d"), "kind")
+    met = near.unionByName(unmeasured).unionByName(everyone).where("id <> other").groupBy("id", "other").agg(F.min("d").alias("d"), F.min(F.when(F.col("kind").startswith("g:"), 0).otherwise(1)).alias("rank"))
     w = Window.partitionBy("id").orderBy("rank", F.round("d", 9), "other")
-    similar = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select("id", "other")
-    tags = pool.select(F.col("id").alias("other"), F.explode(F.array_distinct("tags")).alias("name")).where("name is not null")
-    sizes = similar.groupBy("id").agg(F.count("*").alias("pool")).where(F.col("pool") >= least)
+    return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select("id", "other")
+
+
+def suggest_tags(asked: DataFrame, view: DataFrame, vocabulary: DataFrame, floor: float = 0.45, limit: int = 60, least: int = 6, top: int = 8) -> DataFrame:
+    """(id, name, n, share): tags that many of a track's similar tracks carry and it does not.
+
+    vocabulary: (name), the tags that may be suggested. Only similar tracks that carry a tag of it are
+    decided; both the similar and the decided ones must be `least`. share is n over the decided ones, and
+    only tags of at least `floor` count. The first `top` by share, then name.
+    """
+    pool = view.where(F.exists("tags", lambda t: t.isNotNull()))
+    similar = similar_tracks(asked, pool, limit=limit)
+    names = vocabulary.select("name").where("name is not null").distinct()
+    tags = pool.select(F.col("id").alias("other"), F.explode(F.array_distinct("tags")).alias("name")).join(names, "name")
+    carried = similar.join(tags, "other")
+    sizes = similar.groupBy("id").agg(F.count("*").alias("pool")).join(carried.groupBy("id").agg(F.countDistinct("other").alias("decided")), "id").where((F.col("pool") >= least) & (F.col("decided") >= least))
     have = asked.select("id", F.coalesce("tags", F.array().cast("array<string>")).alias("have"))
-    share = F.round(F.col("n") / F.col("pool"), 2)
-    counted = similar.join(tags, "other").groupBy("id", "name").agg(F.count("*").alias("n")).join(sizes, "id").join(have, "id").where(~F.array_contains("have", F.col("name")) & (F.col("n") / F.col("pool") >= floor))
-    best = Window.partitionBy("id").orderBy(F.desc("n"), "name")
-    return counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("id", "name", "n", share.alias("share"))
+    counted = carried.groupBy("id", "name").agg(F.count("*").alias("n")).join(sizes, "id").join(have, "id").where(~F.coalesce(F.array_contains("have", F.col("name")), F.lit(False)) & (F.col("n") / F.col("decided") >= floor))
+    best = Window.partitionBy("id").orderBy(F.desc(F.round(F.col("n") / F.col("decided"), 2)), "name")
+    return counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("id", "name", "n", F.round(F.col("n") / F.col("decided"), 2).alias("share"))
+
+
+def guess_banks(tag: DataFrame, kinds: tuple[str, ...], least: int = 2) -> DataFrame:
+    """(mood, timing, kind): which group of tags is the mood, which the stages of a night, which the kind of night, by content.
+
+    timing: the group with most tags that name a stage, if `least` do; mood: the largest other group; kind: of
+    the rest the one with most words of `kinds` in its names, if `least` are there, else the largest. Of
+    equals the first by (seq, name); '' for none. The vocabulary is one row a group once it is counted.
+    """
+    groups = tag.where("attribute = 1").select(F.col("id").alias("parent_id"), F.col("name").alias("bank"), "seq")
+    each = tag.where("attribute = 0").select("parent_id", F.lower("name").alias("low"), arc_stage(F.col("name")).isNotNull().cast("int").alias("staged"))
+    words_ = [F.max(F.contains(F.col("low"), F.lit(w)).cast("int")) for w in kinds]
+    counts = each.groupBy("parent_id").agg(F.count("*").alias("size"), F.sum("staged").alias("stages"), sum(words_[1:], words_[0]).alias("words"))
+    rows = groups.join(counts, "parent_id", "left").select("bank", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("stages", F.lit(0)).alias("stages"), F.coalesce("words", F.lit(0)).alias("words"), "seq")
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("seq", "bank", "size", "stages", "words"))).alias("b"))
+
+    def best(by: str, taken: list[Column], floor: int) -> Column:
+        free = F.filter("b", lambda x: (x[by] >= floor) & reduce(lambda ok, t: ok & (x["bank"] != t), taken, F.lit(True)))
+        most = F.array_max(F.transform(free, lambda x: x[by]))
+        return F.coalesce(F.get(F.filter(free, lambda x: x[by] == most), 0)["bank"], F.lit(""))
+
+    timed = listed.withColumn("timing", best("stages", [], least))
+    mooded = timed.withColumn("mood", best("size", [F.col("timing")], 0))
+    taken = [F.col("timing"), F.col("mood")]
+    worded = best("words", taken, least)
+    return mooded.select("mood", "timing", F.when(worded != "", worded).otherwise(best("size", taken, 0)).alias("kind"))
+
+
+def ordered_tags(tag: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(bank, pos, name): the tags of each group in the order of `wanted` (bank, name, place), those without a place after them as they were."""
+    groups = tag.where("attribute = 1").select(F.col("id").alias("parent_id"), F.col("name").alias("bank"))
+    rows = tag.where("attribute = 0").select("name", "parent_id", "seq").join(groups, "parent_id").join(wanted, ["bank", "name"], "left")
+    w = Window.partitionBy("bank").orderBy(F.col("place").asc_nulls_last(), "seq", "name")
+    return rows.select("bank", F.row_number().over(w).alias("pos"), "name")
+
+
+def vocabulary_plan(tag: DataFrame, starter: DataFrame) -> DataFrame:
+    """(bank, name, bank_exists, exists): which groups and tags of a starter vocabulary (bank, name) are there already, in any case."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    groups = tag.where("attribute = 1").select("id", plain(F.col("name")).alias("b")).groupBy("b").agg(F.max("id").alias("id"))
+    have = tag.where("attribute <> 1").select(F.col("parent_id").alias("id"), plain(F.col("name")).alias("n")).distinct().withColumn("there", F.lit(True))
+    rows = starter.select("bank", "name", F.lower("bank").alias("b"), F.lower("name").alias("n")).join(groups, "b", "left").join(have, ["id", "n"], "left")
+    return rows.select("bank", "name", F.col("id").isNotNull().alias("bank_exists"), F.coalesce("there", F.lit(False)).alias("exists"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from setlore.functions.text import COMPILATION, NO_VERSION, VERSION_HINT, is_compilation, quality_label, work_label
 from setlore.operators import quality as op
 from setlore.plans.library import FOLD
+from setlore.session import materialise
 from setlore.tables import load
 
 
@@ -87,17 +89,80 @@ def format_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 def same_recording(s: SparkSession, d: str) -> DataFrame:
-    """Pairs under one duplicate key whose lengths differ by three seconds at most."""
-    rows = op.keyed(load(s, d, "track")).where("coalesce(rb_length, 0) > 0").select("id", "rb_length", *op.KEY)
-    other = rows.select(F.col("id").alias("id_b"), F.col("rb_length").alias("len_b"), *op.KEY)
-    return rows.join(other, list(op.KEY)).where((F.col("id") < F.col("id_b")) & (F.abs(F.col("rb_length") - F.col("len_b")) <= 3)).select(F.col("id").alias("id_a"), "id_b")
+    """Tracks under one duplicate key that a chain of lengths within three seconds joins, with their class and number of links."""
+    return op.same_recordings(op.keyed(load(s, d, "track")).where("coalesce(rb_length, 0) > 0").select("id", "rb_length", *op.KEY))
 
 
-QUERIES = {f.__name__: f for f in (probe_bitrate, dupe_groups, dupe_best_copy, dupe_lost_tags, dupe_merge_plan, work_score, device_compat, device_reasons, quality_bands, folder_rollup, topmost_folders, missing_and_orphans, storage_report, format_histogram, same_recording)}
+def merged_sets(s: SparkSession, d: str) -> DataFrame:
+    """The tags and playlists that the best copy of each group would gain."""
+    return op.merge_sets(load(s, d, "track"), op.duplicate_groups(*_both(s, d)))
+
+
+def dupe_order(s: SparkSession, d: str) -> DataFrame:
+    """The first 200 groups in the order of a list, without those marked as no duplicates, here all of two copies that are to be reviewed."""
+    groups = materialise(op.duplicate_groups(*_both(s, d)))
+    return op.ordered_groups(groups, groups.where("verdict = 'review' and n = 2").select(*op.KEY))
+
+
+def held_files(s: SparkSession, d: str) -> DataFrame:
+    """Measured files beside a library of the tracks with five stars: identical and same recordings (J06, J07, M06). Size and length stand for the samples of the content."""
+    track, probe = _both(s, d)
+    sized = op.probes(probe).where("exists").select("path", "size", "duration", F.md5(F.concat_ws("|", "size", "duration")).alias("digest"))
+    rows = track.select("id", "path", "artist", "title", "rb_length", "rating").join(sized, "path")
+    return op.held_files(rows.withColumn("seconds", F.col("duration")), rows.where("rating = 5"))
+
+
+def folder_order(s: SparkSession, d: str) -> DataFrame:
+    """The first 200 folders by bytes of duplicates."""
+    best = op.folder_rollup(_files(s, d)).where("dupes > 0").orderBy(F.desc("dupe_bytes"), "folder").limit(200)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("dupe_bytes"), "folder")).alias("pos"), "folder", "dupes", "dupe_bytes")
+
+
+def space_check(s: SparkSession, d: str) -> DataFrame:
+    """What a conversion would take, with 20 GB free."""
+    return op.space_check(*_both(s, d), free=20e9)
+
+
+def format_issues(s: SparkSession, d: str) -> DataFrame:
+    """What even the best player refuses, FLAC under one name, with 60 sample files each."""
+    v = op.verdicts(*_both(s, d)).where("device = 'nxs2'").join(load(s, d, "track").select("id", "path", "ext"), "id")
+    why = F.when(F.col("ext") == ".flac", "FLAC").otherwise(F.col("why"))
+    w = Window.partitionBy("why").orderBy("path")
+    rows = v.select(why.alias("why"), "path").where("why is not null")
+    sample = rows.withColumn("r", F.row_number().over(w)).where("r <= 60").groupBy("why").agg(F.array_join(F.array_sort(F.collect_list("path")), "|").alias("files"))
+    return rows.groupBy("why").agg(F.count("*").alias("n")).join(sample, "why")
+
+
+def paths_found(s: SparkSession, d: str) -> DataFrame:
+    """The track at each measured path, case ignored, rated ones standing for live rows."""
+    wanted = load(s, d, "probe").select(F.upper("path").alias("path")).distinct()
+    return op.paths_found(wanted, load(s, d, "track").select("path", "id", (F.coalesce("rating", F.lit(0)) > 0).alias("live")))
+
+
+def file_identities(s: SparkSession, d: str) -> DataFrame:
+    """Files by what identifies them, with how many rows have it; size and rate stand for device and inode."""
+    rows = load(s, d, "probe").where("path is not null").select("path", F.nullif("size", F.lit(0)).alias("dev"), F.col("rate").alias("ino")).distinct()
+    return op.file_identity(rows).groupBy("identity").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+
+
+def missing_artwork(s: SparkSession, d: str) -> DataFrame:
+    """Tracks without a colour standing for those without artwork, their tags for candidates."""
+    tag = load(s, d, "tag").select(F.col("id").alias("tag_id"), "seq", "name")
+    found = load(s, d, "song_tag").join(tag, "tag_id").select(F.col("content_id").alias("id"), F.col("tag_id").alias("url"), F.round(F.col("seq") / 10.0, 2).alias("score"), is_compilation(F.col("name"), F.lit("")).alias("compilation"), (F.col("deleted") == 0).alias("same_version"))
+    queued = load(s, d, "track").where("rating = 5").select("id")
+    return op.missing_artwork(load(s, d, "track").select("id", F.col("color").alias("image")), found, queued)
+
+
+def copy_labels(s: SparkSession, d: str) -> DataFrame:
+    """Quality and work of every track in words."""
+    rows = op.measured(load(s, d, "track"), load(s, d, "probe"))
+    return rows.select("id", quality_label(F.col("exists"), F.col("codec"), F.col("lossless"), F.col("rate"), F.col("depth"), F.col("bitrate")).alias("quality"), work_label(F.col("mytags"), F.col("cues"), F.col("comment"), F.col("rating")).alias("work"))
+
+
+QUERIES = {f.__name__: f for f in (probe_bitrate, dupe_groups, dupe_best_copy, dupe_lost_tags, dupe_merge_plan, work_score, device_compat, device_reasons, quality_bands, folder_rollup, topmost_folders, missing_and_orphans, storage_report, format_histogram, same_recording, merged_sets, dupe_order, held_files, folder_order, space_check, format_issues, paths_found, file_identities, missing_artwork, copy_labels)}
 
 NORM = "trim(regexp_replace(regexp_replace(" + FOLD + r", '[&+]', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
-HINT = r"'(?i)\b(remix|mix|edit|version|versión|dub|bootleg|mashup|rework|refix|vip|instrumental|acapella|acappella|live|extended|radio|club|remaster\w*|intro|outro|transition|short|full|clean|dirty)\b'"
-NONE = r"'(?i)^(original(\s+(mix|version))?|official(\s+\w+)?|hq|hd|master(ed)?|free\s+download|out\s+now|full\s+track)$'"
+HINT, NONE = f"'{VERSION_HINT}'", f"'{NO_VERSION}'"
 KEYED = f"""keyed AS (SELECT *, {NORM.format("string_split_regex(regexp_replace(coalesce(artist, ''), '[&+]', ' and ', 'g'), '\\s*[,;/]\\s*|\\s+(?:and|vs|x)\\s+')[1]")} AS k_artist,
         {NORM.format(r"regexp_replace(regexp_replace(coalesce(title, ''), '[(\[][^)\]]*[)\]]', ' ', 'g'), '(?i)\b(feat|ft|featuring)\.?\s+[^()\[\]-]+', ' ', 'g')")} AS k_base,
         array_to_string(list_sort(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(coalesce(title, ''), '[(\\[]([^)\\]]*)[)\\]]', 1), lambda x: trim(x)), lambda x: regexp_matches(x, {HINT}) AND NOT regexp_matches(x, {NONE})), lambda x: {NORM.format("x")}), lambda x: x <> '')), ' ') AS k_version FROM track)"""
@@ -137,12 +202,39 @@ ORACLES = {
     "device_compat": f"SELECT device, count(*) AS total, count(why) AS bad, round((count(*) - count(why)) / count(*) * 100, 1) AS pct, round((count(*) - count(why_low)) / count(*) * 100, 1) AS pct_low FROM {VERDICTS} GROUP BY device",
     "device_reasons": f"SELECT device, why, count(*) AS n FROM {VERDICTS} WHERE why IS NOT NULL GROUP BY 1, 2",
     "quality_bands": f"""WITH {FILE}, m AS (SELECT coalesce(nullif(duration, 0), rb_length, 0) AS seconds, coalesce(lossless, false) AS lossless, round(coalesce(bitrate, 0) / 1000) AS kbps FROM track t LEFT JOIN file f ON f.path = t.path)
-        SELECT CASE WHEN seconds < 60 THEN 'clips' WHEN lossless THEN 'lossless' WHEN kbps = 0 THEN 'unknown' WHEN kbps <= 128 THEN 'le128' WHEN kbps <= 256 THEN 'le256' WHEN kbps <= 320 THEN 'le320' ELSE 'above' END AS band, count(*) AS n FROM m GROUP BY 1""",
+        SELECT CASE WHEN seconds < 60 THEN 'clips' WHEN lossless THEN 'lossless' WHEN kbps = 0 THEN 'unknown' WHEN kbps <= 128 THEN 'le128' WHEN kbps <= 256 THEN 'le256' WHEN kbps <= 320 THEN 'le320' END AS band, count(*) AS n FROM m WHERE seconds < 60 OR lossless OR kbps <= 320 GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM m WHERE seconds >= 60""",
     "folder_rollup": FILES + " SELECT * FROM rollup_",
     "topmost_folders": FILES + ", fits AS (SELECT * FROM rollup_ WHERE used = 0 AND dupes >= 2 AND dupes >= 0.05 * audio) SELECT folder, audio, dupes FROM fits f WHERE NOT EXISTS (SELECT 1 FROM fits o WHERE starts_with(f.folder, o.folder || '/'))",
     "missing_and_orphans": """WITH refs AS (SELECT DISTINCT path FROM track WHERE path LIKE '/%'), disk AS (SELECT DISTINCT path FROM probe WHERE "exists"), diff AS (SELECT 'missing' AS side, path FROM (SELECT path FROM refs EXCEPT SELECT path FROM disk) UNION ALL SELECT 'orphan', path FROM (SELECT path FROM disk EXCEPT SELECT path FROM refs))
         SELECT side, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext, count(*) AS n FROM diff GROUP BY 1, 2""",
     "storage_report": f"WITH {FILE}, sized AS (SELECT coalesce(codec, '(none)') AS item, sum(size)::BIGINT AS bytes, count(*) AS files FROM file GROUP BY 1) SELECT * FROM sized UNION ALL SELECT 'total', sum(bytes)::BIGINT, sum(files)::BIGINT FROM sized",
     "format_histogram": "SELECT ext, coalesce(rb_depth, 0) AS depth, count(*) AS n, sum(coalesce(rb_size, 0))::BIGINT AS bytes FROM track GROUP BY 1, 2",
-    "same_recording": f"WITH {KEYED}, k AS (SELECT id, rb_length, k_artist, k_base, k_version FROM keyed WHERE k_base <> '' AND rb_length > 0) SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b USING (k_artist, k_base, k_version) WHERE a.id < b.id AND abs(a.rb_length - b.rb_length) <= 3",
+    "same_recording": f"""WITH {KEYED}, k AS (SELECT id, rb_length AS l, k_artist || chr(31) || k_base || chr(31) || k_version AS k FROM keyed WHERE k_base <> '' AND rb_length > 0),
+        o AS (SELECT *, sum(CASE WHEN l - prev <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY l, id) AS chain FROM (SELECT *, lag(l) OVER (PARTITION BY k ORDER BY l, id) AS prev FROM k)),
+        c AS (SELECT *, min(id) OVER (PARTITION BY k, chain) AS class_id FROM o)
+        SELECT c.id, class_id, count(*) AS links FROM c JOIN k b ON b.k = c.k AND b.id <> c.id AND abs(b.l - c.l) <= 3 GROUP BY 1, 2""",
+    "merged_sets": GROUPS + """, member AS (SELECT g.best, c.id, c.mytags, c.playlists FROM copy c JOIN groups g USING (k_artist, k_base, k_version)),
+        x AS (SELECT best, id, 'tag' AS kind, t.id AS xid, t.name AS name FROM (SELECT best, id, unnest(mytags) AS t FROM member) UNION ALL SELECT best, id, 'playlist', p.id, p.name FROM (SELECT best, id, unnest(playlists) AS p FROM member))
+        SELECT best, kind, xid AS id, min(name) AS name FROM x GROUP BY best, kind, xid HAVING NOT bool_or(id = best)""",
+    "dupe_order": GROUPS + """, v AS (SELECT k_artist, k_base, k_version, n, CASE WHEN short < 30 AND long > 60 THEN 'mistagged' WHEN apart <= 3 AND same_size THEN 'identical' WHEN apart <= 3 THEN 'duplicate' ELSE 'review' END AS verdict FROM groups)
+        SELECT row_number() OVER (ORDER BY list_position(['identical', 'duplicate', 'review', 'mistagged'], verdict), k_artist, k_base, k_version) AS pos, k_artist, k_base, k_version, verdict FROM v WHERE NOT (verdict = 'review' AND n = 2) QUALIFY pos <= 200""",
+    "held_files": f"""WITH {KEYED}, {FILE}, r AS (SELECT k.id, k.path, k_artist, k_base, k_version, rb_length, rating, size, duration, trim(regexp_replace(regexp_replace({FOLD.format("regexp_extract(k.path, '([^/]*?)(\\.[^./]*)?$', 1)")}, '[&+]', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS stem FROM keyed k JOIN file f ON f.path = k.path AND f."exists"),
+        lib AS (SELECT * FROM r WHERE rating = 5), loose AS (SELECT * FROM r WHERE path NOT IN (SELECT path FROM lib)),
+        exact AS (SELECT a.path, min(b.path) AS orig FROM loose a JOIN lib b ON b.size = a.size AND b.duration IS NOT DISTINCT FROM a.duration GROUP BY 1),
+        same AS (SELECT a.path, min_by(b.path, (CASE WHEN a.k_base <> '' AND b.k_base <> '' AND a.k_artist = b.k_artist AND a.k_base = b.k_base AND a.k_version = b.k_version THEN '0' ELSE '1' END) || b.path) AS orig FROM loose a JOIN lib b ON b.rb_length > 0 AND abs(b.rb_length - a.duration) <= 3
+            AND ((a.k_base <> '' AND b.k_base <> '' AND a.k_artist = b.k_artist AND a.k_base = b.k_base AND a.k_version = b.k_version) OR a.stem = b.stem) WHERE a.path NOT IN (SELECT path FROM exact) AND a.duration IS NOT NULL GROUP BY 1)
+        SELECT path, 'identical' AS how, orig FROM exact UNION ALL SELECT path, 'same', orig FROM same""",
+    "folder_order": FILES + " SELECT row_number() OVER (ORDER BY dupe_bytes DESC, folder) AS pos, folder, dupes, dupe_bytes FROM rollup_ WHERE dupes > 0 QUALIFY pos <= 200",
+    "space_check": f"""WITH {FILE}, t AS (SELECT t.path, f.size AS fsize, lower(regexp_replace(t.path, '\\.[^./]*$', '') || '.aiff') IN (SELECT lower(path) FROM file WHERE "exists") AS taken FROM track t LEFT JOIN file f ON f.path = t.path AND f."exists" WHERE lower(ext) = '.flac'),
+        g AS (SELECT CASE WHEN fsize IS NULL THEN 'gone' WHEN taken THEN 'taken' ELSE 'todo' END AS state, count(*) AS n, coalesce(sum(fsize), 0)::BIGINT AS bytes FROM t GROUP BY 1) SELECT state, n, bytes, CASE WHEN state = 'todo' THEN round(bytes * 1.55::DOUBLE, 2) ELSE 0 END AS need, CASE WHEN state = 'todo' THEN bytes * 1.55 ELSE 0 END <= 20e9 * 0.95 AS fits FROM g""",
+    "format_issues": f"""WITH v AS (SELECT CASE WHEN t.ext = '.flac' THEN 'FLAC' ELSE d.why END AS why, t.path FROM {VERDICTS} d JOIN track t USING (id) WHERE device = 'nxs2'), r AS (SELECT *, row_number() OVER (PARTITION BY why ORDER BY path) AS r FROM v WHERE why IS NOT NULL)
+        SELECT why, count(*) AS n, string_agg(CASE WHEN r <= 60 THEN path END, '|' ORDER BY path) AS files FROM r GROUP BY 1""",
+    "paths_found": "WITH w AS (SELECT DISTINCT upper(path) AS path FROM probe), r AS (SELECT lower(path) AS low, id, coalesce(rating, 0) > 0 AS live FROM track QUALIFY row_number() OVER (PARTITION BY lower(path) ORDER BY coalesce(rating, 0) > 0 DESC, id) = 1) SELECT w.path, r.id, r.live FROM w LEFT JOIN r ON r.low = lower(w.path)",
+    "file_identities": "SELECT CASE WHEN size <> 0 AND rate IS NOT NULL THEN 'fs:' || size || ':' || rate ELSE 'path:' || lower(path) END AS identity, count(*) AS n, min(path) AS path FROM (SELECT DISTINCT path, size, rate FROM probe WHERE path IS NOT NULL) GROUP BY 1",
+    "missing_artwork": f"""WITH c AS (SELECT content_id AS id, tag_id AS url, max(round(seq / 10.0, 2)) AS score, bool_and(regexp_matches(name, '{COMPILATION}') AND trim(name) <> '') AS compilation, bool_or(deleted = 0) AS same_version FROM song_tag s JOIN tag t ON t.id = s.tag_id GROUP BY 1, 2),
+        k AS (SELECT id, count(*) AS n, max(CASE WHEN r = 1 THEN url END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, compilation, same_version DESC, url) AS r FROM c WHERE score >= 0.55) WHERE r <= 4 GROUP BY 1)
+        SELECT t.id, t.id IN (SELECT id FROM c) AS looked, coalesce(t.rating = 5, false) AS queued, best, coalesce(n, 0) AS n FROM track t LEFT JOIN k ON k.id = t.id WHERE coalesce(color, '') = ''""",
+    "copy_labels": f"""WITH {FILE} SELECT t.id, CASE WHEN NOT coalesce(f."exists", false) THEN 'file not found' WHEN lossless THEN rtrim(coalesce(codec, '?') || ' ' || concat_ws(' / ', CASE WHEN rate > 0 THEN replace(printf('%.1f', rate / 1000.0), '.0', '') || ' kHz' END, CASE WHEN depth > 0 THEN depth || '-bit' END))
+        WHEN round_even(coalesce(bitrate, 0) / 1000.0, 0) > 0 THEN coalesce(codec, '?') || ' ' || round_even(coalesce(bitrate, 0) / 1000.0, 0)::INT || ' kbps' ELSE coalesce(codec, '?') END AS quality,
+        concat_ws(', ', CASE WHEN len(mytags) > 0 THEN len(mytags) || CASE WHEN len(mytags) = 1 THEN ' tag' ELSE ' tags' END END, CASE WHEN cues > 0 THEN cues || ' cues' END, CASE WHEN comment <> '' THEN 'a comment' END, CASE WHEN rating <> 0 THEN 'a rating' END) AS work FROM track t LEFT JOIN file f ON f.path = t.path""",
 }

@@ -87,3 +87,34 @@ def test_other_text_functions(spark):
     stem = spark.createDataFrame([("/m/01. Ada - Sun.mp3",)], "p string").select(*text.file_stem(F.col("p"))).first()
     assert tuple(stem) == ("Ada", "Sun")
     assert [one(spark, text.duration_label, x, "double") for x in (None, 0.0, 61.4)] == ["—", "—", "1:01"]
+
+
+@pytest.mark.parametrize("title, version", [("A (Radio Remix)", "remix"), ("A (Mashup Rework)", "mashup"), ("A (Live Edit)", "edit"), ("A (Extended Mix)", "extended mix"), ("A", ""), (None, "")])
+def test_version_of_ties_by_list(spark, title, version):
+    words = [w for w in text.VERSIONS if title and "(" in title and w in title.lower()]
+    assert version == (max(words, key=len) if words else "")
+    assert one(spark, text.version_of, title) == version
+
+
+def test_queries_keys_and_labels(spark):
+    row = spark.createDataFrame([("Sun (Club Mix)", "Ada feat. Bob", "hits 2020")], "t string, a string, b string").select(
+        text.search_query(F.col("t"), F.col("a")), text.unfindable_key(F.col("a"), F.col("t"), F.lit("x")), text.is_compilation(F.col("b"), F.col("t")), text.is_compilation(F.col("b"), F.col("b")), text.unfindable_key(F.lit(None), F.lit(""), F.lit(" A  b "))).first()
+    assert tuple(row) == ("Ada sun", "ada feat. bob\tsun (club mix)", True, False, "a b")
+    cases = [((True, "FLAC", True, 44100, 24, None), "FLAC 44.1 kHz / 24-bit"), ((True, "FLAC", True, 48000, None, None), "FLAC 48 kHz"), ((True, "MP3", False, 44100, 16, 320000), "MP3 320 kbps"), ((True, None, None, None, None, None), "?"), ((False, "MP3", False, 1, 1, 1), "file not found")]
+    df = spark.createDataFrame([(*c, w) for c, w in cases], "e boolean, c string, l boolean, r int, d int, b int, w string")
+    assert df.where(text.quality_label(*[F.col(x) for x in "eclrdb"]) != F.col("w")).count() == 0
+
+
+def test_frames(spark):
+    cases = [
+        ("ID3", "TIT2", "www.shop.com", ""), ("ID3", "WOAF", "x", "brand"), ("ID3", "WOAF", " ", ""), ("ID3", "WXXX:a", "x", "brand"), ("ID3", "TALB", "www.shop.com", "album"), ("ID3", "TALB", "Album", ""), ("ID3", "COMM::eng", "promo only", "brand"),
+        ("ID3", "TENC", "LAME", ""), ("ID3", "TENC", "dj pool", "brand"), ("ID3", "TXXX:Serato x", "www.a.com", ""), ("ID3", "TXXX:pool-user", "me", "brand"), ("ID3", "APIC:", "", "cover"), ("Vorbis", "publisher", "x", "brand"), ("Vorbis", "copyright", "x", ""), ("Vorbis", "album", "music master", "album"),
+        ("MP4", "covr", "", "cover"), ("MP4", "©cmt", "www.a.com", "brand"), ("MP4", "©alb", "www.a.com", "album"), ("MP4", "----:com.serato", "www.a.com", ""), ("MP4", "----:x", "www.a.com", "brand"), ("MP4", "WOAF", "x", ""),
+    ]
+    df = spark.createDataFrame(cases, "kind string, key string, value string, want string")
+    assert df.where(text.frame_kind(F.col("kind"), F.col("key"), F.col("value")) != F.col("want")).collect() == []
+
+
+def test_key_parts(spark):
+    got = {c: tuple(spark.createDataFrame([(c,)], "c string").select(*music.key_parts(F.col("c"))).first()) for c in ("8B", "8A", "1A", "12B", "13A", "")}
+    assert got == {"8B": (0, "major"), "8A": (9, "minor"), "1A": (8, "minor"), "12B": (4, "major"), "13A": (None, None), "": (None, None)}

@@ -41,9 +41,8 @@ def test_diverse_walk(spark):
                 artists[r[1]] = artists.get(r[1], 0) + 1
                 reasons[r[3]] = reasons.get(r[3], 0) + 1
         df = spark.createDataFrame(rows, "id string, artist string, score double, reason string")
-        for top in (2000, 5):
-            got = affinity.diverse(df, limit=12, top=top).orderBy("pos")
-            assert [r.id for r in got.collect()] == picked
+        got = affinity.diverse(df, limit=12).orderBy("pos")
+        assert [r.id for r in got.collect()] == picked
 
 
 def test_retention_walk(spark):
@@ -67,18 +66,43 @@ def test_retention_walk(spark):
     assert {r.stamp for r in got.collect()} == keep
 
 
+LOG = "seq long, op string, track string, tag string, playlist string, value string, before string"
+
+
 def test_compaction_carries_the_first_baseline(spark):
-    rows = [(1, "comment", "t", None, "a", "old"), (2, "comment", "t", None, "b", "a"), (3, "add_tag", "t", "x", None, None), (4, "remove_tag", "t", "x", None, None), (5, "odd", "t", None, None, None), (6, "color", None, None, "v", None)]
-    got = journal.compact(spark.createDataFrame(rows, "seq long, op string, track string, tag string, value string, before string"))
-    assert {(r.field, r.op, r.value, r.before) for r in got.collect()} == {("comment", "comment", "b", "old"), ("tag:x", "remove_tag", None, None)}
+    rows = [
+        (1, "set_comment", "t", None, None, "a", "old"), (2, "set_comment", "t", None, None, "b", "a"), (3, "add_tag", "t", "x", None, None, None), (4, "remove_tag", "t", "x", None, None, None), (5, "odd", "t", None, None, None, None), (6, "set_color", None, None, None, "v", None),
+        (7, "playlist_add", "t", None, "p1", None, None), (8, "playlist_add", "t", None, "p2", None, None), (9, "playlist_remove", "t", None, "p2", None, None), (10, "set_title", "t", None, None, "n", None), (11, "set_title", "t", None, None, "m", "q"), (12, "set_title", "t", None, None, "k", "n"), (13, "set_artwork", "t", None, None, "f", None),
+    ]
+    got = journal.compact(spark.createDataFrame(rows, LOG))
+    assert {(r.field, r.op, r.value, r.before) for r in got.collect()} == {("comment", "set_comment", "b", "old"), ("tag:x", "remove_tag", None, None), ("list:p1", "playlist_add", None, None), ("list:p2", "playlist_remove", None, None), ("title", "set_title", "k", "q"), ("artwork", "set_artwork", "f", None)}
 
 
 def test_baseline(spark):
-    rows = [("color", " Red", "red ", True), ("rating", None, "0", True), ("genre", "a / b", "a,b", True), ("artist", "x", "y", False)]
+    rows = [("set_color", " Red", "red ", True), ("set_rating", None, "0", True), ("set_genre", "a / b", "a/b", True), ("set_genre", "a,b", "a/b", False), ("set_artist", "x ", "x", True), ("set_title", "x ", "x", False), ("set_comment", None, "", True)]
     df = spark.createDataFrame(rows, "f string, c string, b string, ok boolean")
     assert df.where(journal.baseline_holds(F.col("f"), F.col("c"), F.col("b")) != F.col("ok")).count() == 0
 
 
+def test_browse_rows(spark):
+    view = spark.createDataFrame([("1", "T", None, ["a", "b"], 3, None, " red", ["x", "y", None]), ("2", None, "A", None, None, "c", None, None)], "id string, title string, artist string, genres array<string>, rating int, comment string, color string, tags array<string>")
+    log = spark.createDataFrame([(1, "set_title", "1", None, None, "New", "T"), (2, "add_tag", "1", "a", None, None, None), (3, "remove_tag", "1", "y", None, None, None), (4, "set_color", "1", None, None, None, "red")], LOG)
+    got = {r.id: r for r in journal.browse_rows(view, journal.compact(log)).collect()}
+    assert (got["1"].title, got["1"].genre, got["1"].rating, got["1"].color, got["1"].tags, got["1"].base.title) == ("New", "a/b", "3", None, ["a", "x"], "T")
+    assert (got["2"].title, got["2"].artist, got["2"].tags) == ("", "A", [])
+
+
+def test_membership_and_links(spark):
+    lists = spark.createDataFrame([("p1",), ("p2",)], "playlist string")
+    entries = spark.createDataFrame([("p1", "t"), ("p1", "u")], "playlist string, track string")
+    log = spark.createDataFrame([(1, "playlist_remove", "t", None, "p1", None, None), (2, "playlist_add", "t", None, "p2", None, None), (3, "playlist_add", "t", None, "p9", None, None)], LOG)
+    assert {tuple(r) for r in journal.membership(lists, entries, journal.compact(log)).collect()} == {("t", "p1", False), ("t", "p2", True)}
+    links = spark.createDataFrame([("a", "p1"), ("b", "new:x"), ("c", "p7")], "link string, playlist string")
+    names = spark.createDataFrame([("p1", "One")], "playlist string, name string")
+    assert {tuple(r) for r in journal.link_states(links, names).collect()} == {("a", "One", False, False), ("b", "", True, False), ("c", "", False, True)}
+    assert not journal.link_states(links, names.limit(0)).where("gone").count()
+
+
 def test_budget_keeps_two(spark):
     df = spark.createDataFrame([(i, i, 10.0) for i in range(5)], "id int, stamp int, bytes double")
     assert {r.id for r in journal.within_budget(df, 5.0).where("kept").collect()} == {4, 3}
@@ -192,3 +216,61 @@ def test_auc_over_many_scores(spark):
     pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
     want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
     assert measures.ranked_auc(spark.createDataFrame(rows, "y int, p double"), F.col("y"), F.col("p")).first()[0] == pytest.approx(want)
+
+
+def test_diverse_walk_over_many_pages(spark):
+    rows = [(f"{i:04}", f"a{i // 300}", 1.0 - i / 2000, "x>y" if i % 2 else None) for i in range(1500)]
+    picked, artists, reasons = [], {}, 0
+    for i, a, _, r in rows:
+        if artists.get(a, 0) < 2 and (r is None or reasons < 3):
+            picked.append(i)
+            artists[a] = artists.get(a, 0) + 1
+            reasons += r is not None
+    got = affinity.diverse(spark.createDataFrame(rows, "id string, artist string, score double, reason string"), limit=12).orderBy("pos")
+    assert [r.id for r in got.collect()] == picked[:12]
+
+
+def test_same_recordings(spark):
+    rng = random.Random(7)
+    rows = [(f"{i:03}", rng.randrange(100, 160), f"k{i % 3}", "b", "") for i in range(60)]
+    got = {r.id: (r.class_id, r.links) for r in quality.same_recordings(spark.createDataFrame(rows, "id string, rb_length int, k_artist string, k_base string, k_version string")).collect()}
+    for i, length, key, *_ in rows:
+        near = [r for r in rows if r[2] == key and r[0] != i and abs(r[1] - length) <= 3]
+        assert (got[i][1] if i in got else 0) == len(near)
+        assert all(got[r[0]][0] == got[i][0] for r in near)
+
+
+def test_held_files(spark):
+    library = spark.createDataFrame([("/m/a.mp3", 10, "d1", "Ada", "Sun", 200, "1"), ("/m/01 Moon.mp3", 20, None, "Bob", "Moonlight", 100, "2")], "path string, size long, digest string, artist string, title string, rb_length int, id string")
+    rows = [("/x/copy.mp3", 10, "d1", "", "", 1.0), ("/x/b.mp3", 11, "d2", "Ada", "Sun", 202.5), ("/x/c.mp3", 11, "d2", "Ada", "Sun", 204.0), ("/x/01 moon.flac", 5, None, "", "Other", 99.0), ("/x/d.mp3", 5, None, "Ada", "Sun", None), ("/m/a.mp3", 10, "d1", "Ada", "Sun", 200.0)]
+    files = spark.createDataFrame(rows, "path string, size long, digest string, artist string, title string, seconds double")
+    assert {tuple(r) for r in quality.held_files(files, library).collect()} == {("/x/copy.mp3", "identical", "/m/a.mp3"), ("/x/b.mp3", "same", "/m/a.mp3"), ("/x/01 moon.flac", "same", "/m/01 Moon.mp3")}
+
+
+def test_playlist_check(spark):
+    library = spark.createDataFrame([("1", "Broken River", "Ada Moon"), ("2", "Late Light", "Zeno")], "id string, title string, artist string")
+    songs = spark.createDataFrame([("a", "Broken River", "Ada Moon"), ("b", "Other Song", "Nobody Here"), ("c", "Lost One", "Bob"), ("d", "Late Light (Club Mix)", "Zeno")], "key string, title string, artist string")
+    manual = spark.createDataFrame([("c", "2"), ("b", "99")], "key string, id string")
+    vain = spark.createDataFrame([("nobody here\tother song",)], "song string")
+    got = {r.key: (r.verdict, r.id, r.paired, r.unfindable) for r in matching.playlist_check(songs, library, manual, vain).collect()}
+    assert got == {"a": ("have", "1", False, False), "b": ("missing", None, False, True), "c": ("have", "2", True, False), "d": ("other", "2", False, False)}
+
+
+def test_suggestions_count_decided_tracks_only(spark):
+    rows = [("ask", 120.0, ["House"], ["own"])] + [(f"n{i}", 121.0 if i % 2 else None, ["House"], ["peak", "own"] if i < 5 else ["todo"] if i < 7 else ["warm"] if i < 9 else None) for i in range(10)] + [("far", 170.0, ["House"], ["peak"]), ("other", 120.0, ["Folk"], ["peak"])]
+    view = spark.createDataFrame(rows, "id string, bpm double, genres array<string>, tags array<string>")
+    vocabulary_ = spark.createDataFrame([("peak",), ("own",), ("warm",)], "name string")
+    got = vocabulary.suggest_tags(view.where("id = 'ask'"), view, vocabulary_)
+    assert {tuple(r) for r in got.collect()} == {("ask", "peak", 5, 0.71)}
+
+
+def test_lossy_files_over_320_have_no_band(spark):
+    track = spark.createDataFrame([("1", "/a", 300), ("2", "/b", 300), ("3", "/c", 30)], "id string, path string, rb_length int")
+    probe = spark.createDataFrame([("/a", True, 1, 300.0, 500_000, 44100, 16, False, "MP3"), ("/b", True, 1, 300.0, 320_000, 44100, 16, False, "MP3")], "path string, exists boolean, size long, duration double, bitrate int, rate int, depth int, lossless boolean, codec string")
+    assert {tuple(r) for r in quality.bands(track, probe).collect()} == {("le320", 1), ("clips", 1), ("total", 2)}
+
+
+def test_ranks_are_a_permutation(spark):
+    df = spark.range(5000).selectExpr("id", "pmod(id * 7919, 997) AS v")
+    got = measures.global_rank(df, [F.col("v"), F.col("id")], "i").orderBy("i").collect()
+    assert [r.i for r in got] == list(range(5000)) and [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)

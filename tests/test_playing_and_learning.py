@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import struct
 
 import numpy as np
@@ -81,14 +83,25 @@ def test_descriptors(spark):
 
 
 def test_chords_follow_the_notes(spark):
-    templates, names = signal.chord_templates()
-    c, am = names.index((0, "")), names.index((9, "m"))
+    templates = signal.chord_templates()
+    c, am = signal.CHORDS.index((0, False)), signal.CHORDS.index((9, True))
     notes = np.vstack([[templates[c]] * 8, [templates[am]] * 8, np.zeros((4, 12))])
     bass = np.zeros((20, 12))
     bass[:8, 0], bass[8:16, 9] = 1, 1
     assert signal.chords(notes, bass) == [c] * 8 + [am] * 8 + [-1] * 4
     df = spark.createDataFrame([("x", notes.tolist(), bass.tolist())], "id string, notes array<array<double>>, bass array<array<double>>")
     assert signal.chord_rows(df).count() == 20
+    assert {signal.CHORDS[i] for i in signal.chords_of_key(9, True)} == {(9, True), (11, True), (0, False), (2, True), (4, True), (4, False), (5, False), (7, False)} - {(11, True)}
+    both = np.array([[1.0, 0, 0, 0.6, 0.61, 0, 0, 1.0, 0, 0, 0, 0]] * 6)
+    assert signal.CHORDS[signal.chords(both, np.zeros((6, 12)))[0]] == (0, False) and signal.CHORDS[signal.chords(both, np.zeros((6, 12)), (0, True))[0]] == (0, True)
+
+
+def test_the_steady_path_is_the_most_likely_one():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        seen = rng.normal(size=(5, 4))
+        best = max(product(range(4), repeat=5), key=lambda p: sum(seen[i, s] for i, s in enumerate(p)) + sum(np.log(0.7 if a == b else 0.1) for a, b in zip(p, p[1:])))
+        assert signal.steady_path(seen, 0.7) == list(best)
 
 
 def analysis_file():
@@ -129,8 +142,8 @@ def test_exports(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, "comment", "t", None, "a", "old"), (2, "comment", "t", None, "b", "a"), (3, "add_tag", "t", "x", None, None)]
-    spark.createDataFrame(rows, "seq long, op string, track string, tag string, value string, before string").write.parquet(str(tmp_path / "log"))
+    rows = [(1, "set_comment", "t", None, None, "a", "old"), (2, "set_comment", "t", None, None, "b", "a"), (3, "add_tag", "t", "x", None, None, None)]
+    spark.createDataFrame(rows, "seq long, op string, track string, tag string, playlist string, value string, before string").write.parquet(str(tmp_path / "log"))
     schema = spark.read.parquet(str(tmp_path / "log")).schema
     log = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
     changes.compact_stream(log, str(tmp_path / "out"), str(tmp_path / "state"), "compaction").awaitTermination(60)
