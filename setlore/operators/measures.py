@@ -164,3 +164,89 @@ def logistic(df: DataFrame, features: str, label: str, weight: str, penalty: flo
 def predicted(df: DataFrame, features: str, bias: float, weights: list[float]) -> Column:
     z = F.aggregate(F.zip_with(F.col(features).cast("array<double>"), F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) + bias
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
+# Mean and spread of the contrasts that tell modes apart, and how marked one must be.
+MODE_CONTRAST = {"minor": {"b2": (-0.0336, 0.0259), "b6": (-0.0003, 0.0198), "b7": (0.0234, 0.0242)}, "major": {"b7": (-0.0130, 0.0313), "#4": (-0.0114, 0.0267)}}
+MODE_MARK = 1.25
+# The mode that each contrast names, by its sign.
+MODE_NAMES = {"minor": (("Phrygian", "b2", 1), ("Dorian", "b6", -1), ("Harmonic minor", "b7", -1)), "major": (("Mixolydian", "b7", 1), ("Lydian", "#4", 1))}
+PLAIN_MODES = {"minor": "Aeolian", "major": "Ionian"}
+# The notes between which each contrast lies, counted from the tonic.
+CONTRAST_NOTES = {"b2": (1, 2), "b6": (8, 9), "b7": (10, 11), "#4": (6, 5)}
+
+
+def find_mode(profile: Column, tonic: Column, mode: Column) -> Column:
+    """struct(name, mark) of the mode of a profile of twelve notes from C, given tonic and 'major' or 'minor'; of equal marks the first listed."""
+    note = lambda n: F.get(profile, F.pmod(tonic + n, F.lit(12)).cast("int"))
+
+    def of(key: str) -> Column:
+        marks = []
+        for place, (name, contrast, sign) in enumerate(MODE_NAMES[key]):
+            mean, spread = MODE_CONTRAST[key][contrast]
+            high, low = CONTRAST_NOTES[contrast]
+            marks.append(F.struct(((note(high) - note(low) - mean) / spread * sign).alias("mark"), F.lit(-place).alias("place"), F.lit(name).alias("name")))
+        best = F.array_max(F.array(*marks))
+        return F.struct(F.when(best["mark"] >= MODE_MARK, best["name"]).otherwise(PLAIN_MODES[key]).alias("name"), F.round(best["mark"], 2).alias("mark"))
+
+    return F.when(mode == "minor", of("minor")).otherwise(of("major"))
+
+
+def commonest(values: Column) -> Column:
+    """The commonest value of an array that is not negative, of ties the smallest; -1 if there is none."""
+    real = F.filter(values, lambda x: x >= 0)
+    counted = F.transform(F.array_distinct(real), lambda v: F.struct(F.size(F.filter(real, lambda x: x == v)).alias("n"), (-v).alias("v")))
+    return F.coalesce(-F.array_max(counted)["v"], F.lit(-1))
+
+
+def by_bars(values: Column, size: int = 4) -> Column:
+    """The commonest value of each whole group of `size` (one chord a bar)."""
+    return F.when(F.size(values) >= size, F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / size).cast("int") - 1), lambda i: commonest(F.slice(values, i * size + 1, size)))).otherwise(F.array().cast("array<int>"))
+
+
+def folded_runs(pattern: Column) -> Column:
+    """array<struct<c, n>>: runs of equal values of a loop, the last run joined to the first if they are equal."""
+    empty = F.array().cast("array<struct<c:int,n:int>>")
+
+    def step(runs: Column, c: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        one = lambda n: F.array(F.struct(c.cast("int").alias("c"), n.cast("int").alias("n")))
+        return F.when(F.coalesce(last["c"] == c, F.lit(False)), F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), one(last["n"] + 1))).otherwise(F.concat(runs, one(F.lit(1))))
+
+    runs = F.aggregate(pattern, empty, step)
+    first, last = F.get(runs, F.lit(0)), F.get(runs, F.size(runs) - 1)
+    wraps = (F.size(runs) > 1) & (first["c"] == last["c"])
+    joined = F.concat(F.array(F.struct(first["c"].alias("c"), (first["n"] + last["n"]).cast("int").alias("n"))), F.slice(runs, F.lit(2), F.greatest(F.size(runs) - 2, F.lit(0))))
+    return F.when(wraps, joined).otherwise(runs)
+
+
+def from_tonic(runs: Column, tonic: Column) -> Column:
+    """A loop of runs (c is twice the root, one more for minor) turned to begin on the tonic, else on its longest run, of ties the first."""
+    place = lambda test: F.array_position(F.transform(runs, test), True).cast("int")
+    home = place(lambda r: F.floor(r["c"] / 2) == tonic)
+    longest = place(lambda r: r["n"] == F.array_max(F.transform(runs, lambda q: q["n"])))
+    at = F.when(home > 0, home).otherwise(longest)
+    return F.when(F.size(runs) > 0, F.concat(F.slice(runs, at, F.size(runs) - at + 1), F.slice(runs, F.lit(1), at - 1))).otherwise(runs)
+
+
+def share_where(values: Column, test) -> Column:
+    """The share of an array's values that pass a test, 0 of none."""
+    return F.coalesce(F.try_divide(F.size(F.filter(values, test)).cast("double"), F.size(values)), F.lit(0.0))
+
+
+def peaks_of(values: Column, columns: int) -> Column:
+    """The greatest value of each of `columns` slices, a slice holding one value at least."""
+    n = F.size(values)
+    low = lambda i: F.floor(i * n / F.lit(columns)).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.array_max(F.slice(values, low(i) + 1, F.greatest(low(i + 1) - low(i), F.lit(1))))))
+
+
+def onset_places(strength: Column, beat: int) -> Column:
+    """struct(on, off8, off16): shares of an onset curve on the beat, halfway and at the quarters, with `beat` frames a beat; 0 where nothing sounds."""
+    placed = F.transform(strength, lambda x, i: F.struct(x.alias("x"), (F.pmod(i, F.lit(beat)) / F.lit(float(beat))).alias("p")))
+    total = lambda test: F.aggregate(F.filter(placed, test), F.lit(0.0), lambda s, v: s + v["x"])
+    on = total(lambda v: (v["p"] < 0.1) | (v["p"] > 0.9))
+    half = total(lambda v: F.abs(v["p"] - 0.5) < 0.1)
+    quarter = total(lambda v: (F.abs(v["p"] - 0.25) < 0.08) | (F.abs(v["p"] - 0.75) < 0.08))
+    hit = F.when(on + half + quarter == 0, 1.0).otherwise(on + half + quarter)
+    return F.struct((on / hit).alias("on"), (half / hit).alias("off8"), (quarter / hit).alias("off16"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setlore.functions.music import normalize_key
 from setlore.functions.text import SHOP_TEXT, duration_label, is_branding
 from setlore.operators import library as op
 from setlore.tables import load
@@ -138,7 +139,60 @@ def majority_flag(s: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("ext").agg(F.min(F.struct((-F.col("n")).alias("n"), "rb_rate")).alias("m")).select("ext", F.col("m.rb_rate").alias("rate"), (-F.col("m.n")).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (track_scan, playlists_in_order, tag_groups, tree_paths, session_transitions, last_seen, history_merge, track_view_build, min_duration, skipped_tally, colour_counts, local_split, table_sizes, unplayed, played_in_view, cue_counts, browse_newest, triage_next, durations, branding, access_buckets, majority_flag)}
+def star_scan(s: SparkSession, d: str) -> DataFrame:
+    """Tracks with their key, genre, file and last play looked up; what is unknown stays null."""
+    key = load(s, d, "key_ref").select(F.col("key_id"), F.explode(F.array("camelot", "scale_name")).alias("key")).groupBy("key").agg(F.min("key_id").alias("key_id"))
+    genre = load(s, d, "genre_ref").select(F.col("name").alias("genre"), "genre_id", "family")
+    last = op.last_played(_played(s, d)).withColumnRenamed("content", "id")
+    files = load(s, d, "probe").groupBy("path").agg(F.max("codec").alias("codec"))
+    return load(s, d, "track").select("id", "key", "genre", "path").join(key, "key", "left").join(genre, "genre", "left").join(files, "path", "left").join(last, "id", "left").select("id", "key_id", "genre_id", "family", "codec", "last")
+
+
+def scan_stats(s: SparkSession, d: str) -> DataFrame:
+    """All tracks, those with a file of their own, and streamed ones."""
+    local = F.coalesce(F.col("path"), F.lit("")).rlike(r"^(/|[A-Za-z]:)").cast("long")
+    return load(s, d, "track").agg(F.count("*").alias("total"), F.sum(local).alias("local"), F.sum(1 - local).alias("streaming"))
+
+
+# Names of phrase kinds.
+PHRASES = {1: "intro", 2: "up", 3: "down", 4: "bridge", 5: "chorus", 6: "outro", 7: "verse", 8: "verse", 9: "verse", 10: "outro"}
+
+
+def phrase_names(s: SparkSession, d: str) -> DataFrame:
+    """Line numbers of orders as kinds of phrases, by name; unknown kinds stay numbers."""
+    kind = (F.col("l_linenumber") + F.when(F.col("l_returnflag") == "R", 6).otherwise(0)).cast("int")
+    names = F.create_map(*[F.lit(x) for pair in PHRASES.items() for x in pair])
+    return load(s, d, "lineitem").groupBy(F.coalesce(names[kind], kind.cast("string")).alias("name")).agg(F.count("*").alias("n"))
+
+
+def defaults_overlay(s: SparkSession, d: str) -> DataFrame:
+    """The caps of the sources as defaults under stored values, here the number of tags that their documents name; stored keys that are not known are dropped."""
+    stored = load(s, d, "documents").groupBy(F.col("source").alias("name")).agg(F.nullif(F.countDistinct("tag_id"), F.lit(0)).alias("stored"))
+    return load(s, d, "source_target").select(F.col("source").alias("name"), F.col("max_repeats").alias("default")).join(stored, "name", "left").select("name", F.coalesce("stored", "default").cast("long").alias("value"))
+
+
+def overwrite_playlists(s: SparkSession, d: str) -> DataFrame:
+    """Every session's plays as the new content of a playlist: the first place of each track that exists, numbered again; none for sessions of which nothing exists."""
+    live = load(s, d, "track").where("rating > 0").select(F.col("id").alias("track"))
+    wanted = _played(s, d).select(F.col("session").alias("playlist"), "trackno", F.col("content").alias("track")).join(live, "track", "left_semi")
+    return op.renumber(wanted)
+
+
+def native_flag(s: SparkSession, d: str) -> DataFrame:
+    """The commonest bitrate of the newest 200 tracks whose lowest bit is free, 14 if there is none."""
+    newest = load(s, d, "track").where("rb_bitrate is not null").select("rb_bitrate", F.coalesce("added", F.lit("")).alias("added"), "id").orderBy(F.desc("added"), F.desc("id")).limit(200)
+    votes = newest.where(F.col("rb_bitrate").bitwiseAND(1) == 0).groupBy("rb_bitrate").agg(F.count("*").alias("n"))
+    return votes.agg(F.min(F.struct((-F.col("n")).alias("n"), "rb_bitrate")).alias("m")).select(F.coalesce("m.rb_bitrate", F.lit(14)).alias("flag"))
+
+
+def key_staleness(s: SparkSession, d: str) -> DataFrame:
+    """Tracks to be analysed anew: not measured, or measured under another key than the view has, keys compared as keys."""
+    rows = load(s, d, "track").select("id", "path", normalize_key(F.col("key")).alias("raw")).join(load(s, d, "track_view").select("id", F.coalesce("key", F.lit("")).alias("key")), "id").join(load(s, d, "probe").where("exists").select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
+    why = F.when(F.col("there").isNull(), "no file").when(F.col("raw") != F.col("key"), "other key")
+    return rows.groupBy(F.coalesce(why, F.lit("fresh")).alias("state")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (star_scan, scan_stats, phrase_names, defaults_overlay, overwrite_playlists, native_flag, key_staleness, track_scan, playlists_in_order, tag_groups, tree_paths, session_transitions, last_seen, history_merge, track_view_build, min_duration, skipped_tally, colour_counts, local_split, table_sizes, unplayed, played_in_view, cue_counts, browse_newest, triage_next, durations, branding, access_buckets, majority_flag)}
 
 TEMPO = "CASE WHEN bpm > 1000 THEN round(bpm / 100, 1) ELSE coalesce(bpm, 0) END"
 FOLD = "regexp_replace(strip_accents(nfc_normalize(lower({}))), '\\p{{Mn}}', '', 'g')"
@@ -191,4 +245,12 @@ ORACLES = {
     "access_buckets": """SELECT CASE WHEN p."exists" THEN 'ok' WHEN p."exists" IS NULL THEN 'unknown' ELSE 'missing' END AS state, regexp_extract(t.path, '^(/[^/]+/[^/-]+)', 1) AS place, count(*) AS n, min(t.path) AS example
         FROM track t LEFT JOIN (SELECT DISTINCT path, "exists" FROM probe) p ON p.path = t.path WHERE t.path LIKE '/%' GROUP BY 1, 2""",
     "majority_flag": "SELECT ext, rb_rate AS rate, count(*) AS n FROM track WHERE rb_rate IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY ext ORDER BY count(*) DESC, rb_rate) = 1",
+    "star_scan": f"""SELECT t.id, k.key_id, g.genre_id, g.family, p.codec, l.last FROM track t LEFT JOIN (SELECT key, min(key_id) AS key_id FROM (SELECT key_id, unnest([camelot, scale_name]) AS key FROM key_ref) GROUP BY 1) k ON k.key = t.key LEFT JOIN genre_ref g ON g.name = t.genre
+        LEFT JOIN (SELECT path, max(codec) AS codec FROM probe GROUP BY 1) p ON p.path = t.path LEFT JOIN (SELECT content, max(day) AS last FROM {PLAYED} WHERE day <> '' GROUP BY 1) l ON l.content = t.id""",
+    "scan_stats": "SELECT count(*) AS total, count(*) FILTER (WHERE regexp_matches(coalesce(path, ''), '^(/|[A-Za-z]:)')) AS local, count(*) FILTER (WHERE NOT regexp_matches(coalesce(path, ''), '^(/|[A-Za-z]:)')) AS streaming FROM track",
+    "phrase_names": "SELECT CASE WHEN k = 1 THEN 'intro' WHEN k = 2 THEN 'up' WHEN k = 3 THEN 'down' WHEN k = 4 THEN 'bridge' WHEN k = 5 THEN 'chorus' WHEN k IN (6, 10) THEN 'outro' WHEN k IN (7, 8, 9) THEN 'verse' ELSE k::VARCHAR END AS name, count(*) AS n FROM (SELECT l_linenumber + CASE WHEN l_returnflag = 'R' THEN 6 ELSE 0 END AS k FROM lineitem) GROUP BY 1",
+    "defaults_overlay": "SELECT s.source AS name, coalesce(nullif((SELECT count(DISTINCT tag_id) FROM documents d WHERE d.source = s.source), 0), max_repeats)::BIGINT AS value FROM source_target s",
+    "overwrite_playlists": f"""SELECT playlist, row_number() OVER (PARTITION BY playlist ORDER BY place, track) AS pos, track FROM (SELECT session AS playlist, content AS track, min(trackno) AS place FROM {PLAYED} WHERE content IN (SELECT id FROM track WHERE rating > 0) GROUP BY ALL)""",
+    "native_flag": "WITH n AS (SELECT rb_bitrate FROM track WHERE rb_bitrate IS NOT NULL ORDER BY coalesce(added, '') DESC, id DESC LIMIT 200) SELECT coalesce((SELECT rb_bitrate FROM n WHERE rb_bitrate & 1 = 0 GROUP BY 1 ORDER BY count(*) DESC, rb_bitrate LIMIT 1), 14) AS flag",
+    "key_staleness": f"""SELECT CASE WHEN p.path IS NULL THEN 'no file' WHEN r.raw <> coalesce(v.key, '') THEN 'other key' ELSE 'fresh' END AS state, count(*) AS n FROM (SELECT id, path, {KEY_SQL} AS raw FROM {KEYED}) r JOIN track_view v USING (id) LEFT JOIN (SELECT DISTINCT path FROM probe WHERE "exists") p ON p.path = r.path GROUP BY 1""",
 }
