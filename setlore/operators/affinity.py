@@ -90,7 +90,7 @@ def feel_fit(view: DataFrame, feel: dict[str, DataFrame], mood: str) -> DataFram
     known = {"energy": F.col("energy").isNotNull() & F.col("set_energy").isNotNull(), "bpm": F.col("tempo").isNotNull() & F.col("set_bpm").isNotNull(), "moods": F.col("moods").isNotNull(), "family": F.col("family").isNotNull()}
     weight = sum((F.when(known[p], w).otherwise(0.0) for p, w in FEEL.items()), F.lit(0.0))
     score = sum((F.when(known[p], parts[p] * w).otherwise(0.0) for p, w in FEEL.items()), F.lit(0.0))
-    return rows.select("id", F.when(F.col("set_n") == 0, 1.0).when(weight > 0, F.round(score / weight, 3)).otherwise(0.5).alias("fit"))
+    return rows.select("id", F.when(F.col("set_n") == 0, 1.0).when(weight > 0, F.round(F.round(score / weight, 9), 3)).otherwise(0.5).alias("fit"))
 
 
 def candidates(view: DataFrame, chosen: DataFrame, lift: DataFrame, kinds: DataFrame, type_bank: str, banks: tuple[str, ...], recent: int = 3) -> DataFrame:

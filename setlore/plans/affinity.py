@@ -118,7 +118,7 @@ ORACLES = {
         part AS (SELECT v.id, mood.p AS pm, fam.p AS pf, greatest(0.0, 1 - abs(v.energy - total.energy) / 3.0) AS pe, greatest(0.0, 1 - abs(nullif(v.bpm, 0) - total.bpm) / total.bpm / 0.12) AS pb, v.energy AS e, nullif(v.bpm, 0) AS b
             FROM track_view v LEFT JOIN mood ON mood.id = v.id LEFT JOIN fam ON fam.id = v.id, total),
         summed AS (SELECT id, if(pm IS NULL, 0, 0.4) + if(pf IS NULL, 0, 0.25) + if(e IS NULL, 0, 0.2) + if(b IS NULL, 0, 0.15) AS w, if(pm IS NULL, 0, 0.4::DOUBLE * pm) + if(pf IS NULL, 0, 0.25::DOUBLE * pf) + if(e IS NULL, 0, 0.2::DOUBLE * pe) + if(b IS NULL, 0, 0.15::DOUBLE * pb) AS s FROM part)
-        SELECT id, CASE WHEN w > 0 THEN round(s / w, 3) ELSE 0.5 END AS fit FROM summed""",
+        SELECT id, CASE WHEN w > 0 THEN round(round(s / w, 9), 3) ELSE 0.5 END AS fit FROM summed""",
     "candidate_score": f"""WITH chosen AS MATERIALIZED {CHOSEN}, lift AS MATERIALIZED (SELECT * FROM {LIFT}), kinds AS MATERIALIZED (SELECT * FROM {KINDS}), tags AS MATERIALIZED (SELECT * FROM {_pairs(FLOW)}),
         moves AS (SELECT * FROM (VALUES MOVE_ROWS) AS m(src, dst, level)),
         near AS (SELECT id, (least(3, n) - back + 1) / least(3, n) AS w FROM (SELECT id, row_number() OVER (ORDER BY pos DESC) AS back, count(*) OVER () AS n FROM chosen) WHERE back <= 3),
