@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from setlore.functions.music import bpm_distance, key_moves
 from setlore.functions.text import GENRE_FIXES, NO_FAMILY, arc_stage, genre_family
+from setlore.session import materialise
 
 #: Width of a tempo bucket, as a natural logarithm.
 BUCKET = 0.04
@@ -119,12 +120,15 @@ def similar_tracks(asked: DataFrame, pool: DataFrame, tolerance: float = 0.08, l
     """
     kinds = lambda df: df.select("id", F.explode("genres").alias("g")).where("g is not null and g <> ''").select("id", F.explode(F.array(F.concat(F.lit("g:"), "g"), F.concat(F.lit("f:"), genre_family(F.col("g"))))).alias("kind")).where(F.col("kind") != f"f:{NO_FAMILY}").distinct()
     tempo = F.when(F.col("bpm") > 0, F.col("bpm")).alias("tempo")
-    left = kinds(asked).join(asked.select("id", tempo), "id")
+    left = materialise(kinds(asked).join(asked.select("id", tempo), "id"))
     right = kinds(pool).join(pool.select("id", tempo), "id").select(F.col("id").alias("other"), F.col("tempo").alias("other_bpm"), "kind")
-    classes = first_of_each(right, ["kind", "other_bpm"], limit + 1)
+    classes = materialise(first_of_each(right, ["kind", "other_bpm"], limit + 1))
     near = near_tempo(left.withColumnRenamed("tempo", "bpm"), classes, tolerance, ["kind"]).select("id", "other", "d", "kind")
+    # of one kind only the nearest can be among the first; they are cut before anything is grouped
+    nearest = Window.partitionBy("id", "kind").orderBy(F.round("d", 9), "other")
+    near = near.withColumn("r_", F.row_number().over(nearest)).where(F.col("r_") <= limit).drop("r_")
     unmeasured = left.where("tempo is not null").join(classes.where("other_bpm is null"), "kind").select("id", "other", F.lit(1.0).alias("d"), "kind")
-    everyone = left.where("tempo is null").join(first_of_each(right, ["kind"], limit + 1), "kind").select("id", "other", F.lit(1.0).alias("d"), "kind")
+    everyone = left.where("tempo is null").join(first_of_each(classes, ["kind"], limit + 1), "kind").select("id", "other", F.lit(1.0).alias("d"), "kind")
     met = near.unionByName(unmeasured).unionByName(everyone).where("id <> other").groupBy("id", "other").agg(F.min("d").alias("d"), F.min(F.when(F.col("kind").startswith("g:"), 0).otherwise(1)).alias("rank"))
     w = Window.partitionBy("id").orderBy("rank", F.round("d", 9), "other")
     return met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select("id", "other")

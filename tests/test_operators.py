@@ -274,3 +274,15 @@ def test_ranks_are_a_permutation(spark):
     df = spark.range(5000).selectExpr("id", "pmod(id * 7919, 997) AS v")
     got = measures.global_rank(df, [F.col("v"), F.col("id")], "i").orderBy("i").collect()
     assert [r.i for r in got] == list(range(5000)) and [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
+
+
+def test_ratio_bounds_never_lie(spark):
+    import difflib
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcd e") for _ in range(rng.randrange(0, 14))) for _ in range(60)] + [None, "x" * 300 + "y"]
+    rows = [(a, b, f) for a in texts[:20] + texts[-2:] for b in texts for f in (0.0, 0.62)]
+    got = spark.createDataFrame(rows, "a string, b string, f double").withColumn("r", matching.ratio_from(F.col("a"), F.col("b"), F.col("f"))).collect()
+    for r in got:
+        true = difflib.SequenceMatcher(None, r.a, r.b).ratio() if r.a and r.b else 0.0
+        assert r.r == pytest.approx(true) if true >= r.f else true <= r.r + 1e-12 and r.r < r.f
