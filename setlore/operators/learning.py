@@ -134,3 +134,27 @@ def verdict(auc: Column, yes: Column, no: Column, proxy: Column) -> Column:
 def order_verdict(share: Column, pairs: Column) -> Column:
     """The same for comparisons, by the share of pairs that are predicted."""
     return F.when(share.isNull(), "too-few").when(pairs < 15, "early").when(share >= 0.8, "strong").when(share >= 0.65, "useful").otherwise("weak")
+
+
+def training_report(rows: DataFrame, features: str, penalties: tuple[float, ...] = PENALTIES) -> dict:
+    """What a lesson has learned (L05): answers of each kind, the share of yes, the best penalty and its AUC, and the verdict.
+
+    rows: id, features, y, w, real, as training_rows() gives them. With fewer than ten real noes the rest is judged
+    as assumed noes too, which `proxy` tells.
+    """
+    counts = rows.agg(F.sum((F.col("real") & (F.col("y") == 1)).cast("long")).alias("yes"), F.sum((F.col("real") & (F.col("y") == 0)).cast("long")).alias("no"), F.count("*").alias("n")).first()
+    yes, no = counts["yes"] or 0, counts["no"] or 0
+    proxy = no < 10
+    best = cross_validate(rows.withColumn("real", F.lit(True)) if proxy else rows, features, penalties)
+    one = rows.sparkSession.range(1).select(verdict(F.lit(best[1] if best else None).cast("double"), F.lit(yes), F.lit(no), F.lit(proxy)).alias("v"))
+    return {"yes": yes, "no": no, "base": yes / (yes + no) if yes + no else None, "penalty": best[0] if best else None, "auc": best[1] if best else None, "proxy": proxy, "verdict": one.first()["v"]}
+
+
+def ablation(rows: DataFrame, features: str, groups: dict[str, list[int]], penalty: float) -> dict[str, float | None]:
+    """The AUC that each group of features, by their places, reaches alone."""
+    out = {}
+    for name, places in groups.items():
+        alone = rows.withColumn("alone_", F.array(*[F.get(features, F.lit(i)) for i in places]))
+        best = cross_validate(alone, "alone_", (penalty,))
+        out[name] = best[1] if best else None
+    return out

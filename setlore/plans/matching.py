@@ -13,7 +13,7 @@ from setlore.operators import matching as op
 from setlore.operators.vocabulary import genre_cloud
 from setlore.plans.library import FOLD
 from setlore.plans.quality import KEYED
-from setlore.sources.references import dates_in, referenced_paths
+from setlore.sources.references import MUSIC, dates_in, fingerprints, links_in, listed, referenced_paths
 from setlore.tables import load
 
 
@@ -115,7 +115,21 @@ def found_dates(s: SparkSession, d: str) -> DataFrame:
     return dates_in(load(s, d, "documents"), "text")
 
 
-QUERIES = {f.__name__: f for f in (title_parts, base_titles, dash_split, safe_names, token_jaccard_match, block_candidates, blocked_similarity, playlist_check, lookup_texts, compilations, frame_branding, library_search, genre_issues, already_owned, found_paths, found_dates)}
+def listed_files(s: SparkSession, d: str) -> DataFrame:
+    """Music below /Music by extension and what an import would do with it."""
+    return listed(load(s, d, "track").select("path"), "/Music").groupBy("ext", "kind").agg(F.count("*").alias("n"))
+
+
+def found_links(s: SparkSession, d: str) -> DataFrame:
+    return links_in(load(s, d, "documents"), "doc_id", "text")
+
+
+def file_prints(s: SparkSession, d: str) -> DataFrame:
+    """The fingerprints of the measured files, their lengths standing for the time of change."""
+    return fingerprints(load(s, d, "probe").where("path is not null").select("path", F.nullif("size", F.lit(0)).alias("size"), "duration").distinct(), "size", "duration")
+
+
+QUERIES = {f.__name__: f for f in (listed_files, found_links, file_prints, title_parts, base_titles, dash_split, safe_names, token_jaccard_match, block_candidates, blocked_similarity, playlist_check, lookup_texts, compilations, frame_branding, library_search, genre_issues, already_owned, found_paths, found_dates)}
 
 WORDS = "trim(regexp_replace(" + FOLD + ", '[^a-z0-9]+', ' ', 'g'))"
 
@@ -157,6 +171,11 @@ ASKED = "(SELECT * FROM track_view WHERE id::BIGINT % 50 = 0)"
 BLOCKING = "('the', 'and', 'feat', 'featuring', 'mix', 'remix', 'edit', 'original', 'extended', 'radio', 'version', 'club', 'dub', 'vip', 'with')"
 VERSION_ROWS = ", ".join(f"('{w}', {i})" for i, w in enumerate(tx.VERSIONS))
 ORACLES = {
+    "listed_files": rf"""WITH f AS (SELECT lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS ext, string_split(substr(path, 8), '/') AS p FROM track WHERE path LIKE '/Music/%')
+        SELECT ext, CASE WHEN ext = '.flac' THEN 'convert' ELSE 'copy' END AS kind, count(*) AS n FROM f WHERE ext IN {MUSIC} AND p[1] <> 'processed' AND NOT list_bool_or(list_transform(p, lambda x: starts_with(x, '.'))) AND NOT coalesce(list_bool_or(list_transform(p[1:-2], lambda x: regexp_matches(lower(x), '\.(app|logicx|band|photoslibrary|musiclibrary)$'))), false) GROUP BY 1, 2""",
+    "found_links": r"""SELECT doc_id, url, CASE WHEN regexp_matches(h, 'spotify\.link|app\.link|on\.soundcloud\.com') THEN 'short' WHEN contains(h, 'spotify') THEN 'spotify' WHEN contains(h, 'soundcloud') THEN 'soundcloud' ELSE 'none' END AS source
+        FROM (SELECT doc_id, regexp_replace(u, '[).,;\]]+$', '') AS url, lower(regexp_extract(u, '^https?://([^/:?#]*)', 1)) AS h FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'https?://\S+'))) AS u FROM documents))""",
+    "file_prints": """SELECT DISTINCT path, CASE WHEN size <> 0 AND duration IS NOT NULL THEN size || ':' || floor(duration)::BIGINT ELSE '-' END AS print FROM probe WHERE path IS NOT NULL""",
     "title_parts": f"WITH {KEYED}, {COMPATIBLE}, {words_sql('f', 'track', 'id', "coalesce(title, ' ')")} SELECT id, f.t AS folded, k_base AS base, k_version AS version, k_artist AS artist FROM keyed JOIN f ON f.key = id",
     "base_titles": f"""WITH {COMPATIBLE}, {bases_sql('b', 'track')}, {words_sql('v', 'track', 'id', INSIDE_TEXT)}
         SELECT b.key AS id, base, coalesce((SELECT w FROM (VALUES {VERSION_ROWS}) AS l(w, i) WHERE contains(v.t, w) ORDER BY length(w) DESC, i LIMIT 1), '') AS version FROM b JOIN v USING (key)""",

@@ -151,3 +151,32 @@ def test_streams(spark, tmp_path):
     assert {(r.field, r.value, r.before) for r in got} == {("comment", "b", "old"), ("tag:x", None, None)}
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     assert changes.windowed_counts(events, "ts", "event_type").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_progressions(spark):
+    am, f, c, g = (signal.CHORDS.index(k) for k in ((9, True), (5, False), (0, False), (7, False)))
+    loop = [am, f, c, g] * 12
+    assert signal.progression(loop, 9) == {"loop": [[am, 1], [f, 1], [c, 1], [g, 1]], "coverage": 1.0, "moves": True}
+    assert signal.progression([f, c, g, am] * 12, 9)["loop"] == [[am, 1], [f, 1], [c, 1], [g, 1]]
+    assert signal.progression([c, am, am, c] * 12, 9)["loop"] == [[am, 2], [c, 2]]
+    assert signal.progression([am] * 40, 9) == {"loop": [[am, 1]], "coverage": 1.0, "moves": False}
+    assert signal.progression([-1, am], 9)["loop"] == [] and not signal.progression([am, f, c, g] * 4 + [am] * 32, 9)["moves"]
+    df = spark.createDataFrame([("a", 9, loop), ("b", 0, None)], "id string, tonic int, bars array<int>")
+    assert {(r.id, r.moves) for r in signal.progressions(df).collect()} == {("a", True), ("b", False)}
+
+
+def test_briefs(spark):
+    schema = "id string, error string, key struct<name:string,camelot:string>, scale struct<name:string>, prog struct<loop:array<struct<chord:string,num:string,bars:int>>,moves:boolean>"
+    rows = [("a", None, ("Am", "8A"), ("Aeolian",), ([("Am", "i", 2)], True)), ("b", "broken", ("Am", "8A"), None, None), ("c", None, None, None, None), ("d", None, ("C", "8B"), ("Ionian",), None)]
+    got = {r.id: tuple(r)[1:] for r in signal.briefs(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"a": ("Am", "8A", "Aeolian", True, "i Am 2"), "b": (None,) * 5, "c": (None,) * 5, "d": ("C", "8B", "Ionian", False, "")}
+
+
+def test_reports_and_ablation(spark):
+    rows = [(f"{i:03}", [float(i % 2) + (i % 7) / 50, float(i % 5)], i % 2, 1.0, True) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, features array<double>, y int, w double, real boolean")
+    report = learning.training_report(df, "features", (1.0,))
+    assert (report["yes"], report["no"], report["base"], report["proxy"]) == (30, 30, 0.5, False) and report["auc"] > 0.95 and report["verdict"] == "strong"
+    alone = learning.ablation(df, "features", {"good": [0], "noise": [1]}, 1.0)
+    assert alone["good"] > 0.95 > alone["noise"]
+    assert learning.training_report(df.where("y = 1"), "features", (1.0,))["verdict"] == "too-few"
