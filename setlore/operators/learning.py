@@ -92,9 +92,18 @@ def contributions(df: DataFrame, features: str, names: list[str], weights: list[
 
 
 def next_questions(predictions: DataFrame, answers: int, every: int = 5, near: int = 10) -> DataFrame:
-    """What to ask next: the surest row after every fifth answer, else the ten nearest to one half."""
-    order = [F.desc("p"), F.col("id")] if answers and answers % every == 0 else [F.abs(F.col("p") - 0.5), F.col("id")]
-    return predictions.orderBy(*order).limit(1 if answers and answers % every == 0 else near)
+    """(id, p): what to ask next: the surest row after every fifth answer, else one of the ten nearest to one half, drawn by a hash of the id."""
+    if answers and answers % every == 0:
+        return predictions.orderBy(F.desc("p"), "id").limit(1)
+    return predictions.orderBy(F.abs(F.col("p") - 0.5), "id").limit(near).orderBy(F.md5("id"), "id").limit(1)
+
+
+def closest_pair(scored: DataFrame, sample: int = 200) -> DataFrame:
+    """(low, high, gap): the two neighbours by score of least gap in a sample of rows (id, p) drawn by a hash of the id; the question of an order lesson. The sample is the feature."""
+    w = Window.partitionBy(F.lit(0)).orderBy("p", "id")
+    drawn = scored.orderBy(F.md5("id"), "id").limit(sample)
+    pairs = drawn.select(F.lag("id").over(w).alias("low"), F.col("id").alias("high"), (F.col("p") - F.lag("p").over(w)).alias("gap")).where("low is not null")
+    return pairs.orderBy("gap", "low").limit(1)
 
 
 def last_answers(log: DataFrame) -> DataFrame:

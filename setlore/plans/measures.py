@@ -186,7 +186,18 @@ def lesson_verdicts(s: SparkSession, d: str) -> DataFrame:
     return rated.select("ext", "yes", "no", learning.verdict(F.col("auc"), F.col("yes"), F.col("no"), F.col("no") < 10).alias("verdict"), learning.order_verdict(F.col("auc"), F.col("yes") + F.col("no")).alias("order_verdict"))
 
 
-QUERIES = {f.__name__: f for f in (energy_zscore, tag_weights, energy_score, energy_decile, order_percentile, ranked_auc, prob_histogram, percentiles, waveform_features, smooth_levels, level_contour, quiet_runs, key_finding, harmonic_motion, logit_label, mode_finding, bar_chords, chord_shares, chord_timeline, chord_loops, peak_columns, onset_shares, band_shares, prob_over, ranked_library, lesson_verdicts)}
+def question_pick(s: SparkSession, d: str) -> DataFrame:
+    """The next questions after four and after five answers, by energy as a share of ten."""
+    p = load(s, d, "track_view").where("energy is not null").select("id", (F.col("energy") / 10.0).alias("p"))
+    return learning.next_questions(p, 4).unionByName(learning.next_questions(p, 5))
+
+
+def question_pair(s: SparkSession, d: str) -> DataFrame:
+    """The two tracks to compare next, by plays."""
+    return learning.closest_pair(load(s, d, "track").select("id", F.coalesce("plays", F.lit(0)).alias("p")))
+
+
+QUERIES = {f.__name__: f for f in (question_pick, question_pair, energy_zscore, tag_weights, energy_score, energy_decile, order_percentile, ranked_auc, prob_histogram, percentiles, waveform_features, smooth_levels, level_contour, quiet_runs, key_finding, harmonic_motion, logit_label, mode_finding, bar_chords, chord_shares, chord_timeline, chord_loops, peak_columns, onset_shares, band_shares, prob_over, ranked_library, lesson_verdicts)}
 
 ROWS = "(SELECT id, bpm, plays AS dens, list_distinct(list_filter(coalesce(tags, []), lambda t: t IS NOT NULL)) AS tags FROM track_view)"
 ANCHORED = f"""WITH known AS (SELECT id, coalesce(bpm, 0.0) AS bpm, dens::DOUBLE AS dens, tags FROM {ROWS} WHERE dens IS NOT NULL),
@@ -252,4 +263,8 @@ ORACLES = {
     "lesson_verdicts": """WITH r AS (SELECT ext, sum((rating >= 4)::INT)::BIGINT AS yes, sum((rating <= 2)::INT)::BIGINT AS no, round(avg(rating) / 5, 6) AS auc FROM track GROUP BY 1)
         SELECT ext, yes, no, CASE WHEN auc IS NULL THEN 'too-few' WHEN no < 10 THEN CASE WHEN auc >= 0.8 THEN 'useful' ELSE 'rough' END WHEN least(yes, no) < 10 THEN 'early' WHEN auc >= 0.9 THEN 'strong' WHEN auc >= 0.8 THEN 'useful' WHEN auc >= 0.7 THEN 'rough' ELSE 'weak' END AS verdict,
             CASE WHEN auc IS NULL THEN 'too-few' WHEN yes + no < 15 THEN 'early' WHEN auc >= 0.8 THEN 'strong' WHEN auc >= 0.65 THEN 'useful' ELSE 'weak' END AS order_verdict FROM r""",
+    "question_pick": """WITH p AS (SELECT id, energy / 10.0::DOUBLE AS p FROM track_view WHERE energy IS NOT NULL), n AS (SELECT * FROM p ORDER BY abs(p - 0.5), id LIMIT 10)
+        SELECT * FROM (SELECT * FROM n ORDER BY md5(id), id LIMIT 1) UNION ALL SELECT * FROM (SELECT * FROM p ORDER BY p DESC, id LIMIT 1)""",
+    "question_pair": """WITH d AS (SELECT id, coalesce(plays, 0) AS p FROM track ORDER BY md5(id), id LIMIT 200)
+        SELECT * FROM (SELECT lag(id) OVER w AS low, id AS high, p - lag(p) OVER w AS gap FROM d WINDOW w AS (ORDER BY p, id)) WHERE low IS NOT NULL ORDER BY gap, low LIMIT 1""",
 }

@@ -47,6 +47,16 @@ def beat_grid(data: bytes, name: str = "PQTZ") -> list[dict]:
     return []
 
 
+def phrase_entries(data: bytes, name: str = "PSSI") -> tuple[int, list[tuple[int, int]]] | None:
+    """(mood, [(kind, beat)]) of a phrase section, entries in order; null without one. Masked sections are not read."""
+    for section, at, header, length in sections(data):
+        if section == name and header >= 20:
+            width, count, mood = struct.unpack_from(">IHH", data, at + 12)
+            starts = range(at + header, min(at + length, at + header + width * count) - 5, width) if width >= 6 else ()
+            return mood, [(kind, beat) for beat, kind in (struct.unpack_from(">HH", data, i + 2) for i in starts)]
+    return None
+
+
 FILE = pa.struct([("at", pa.float64()), ("bpm", pa.float64()), ("beat", pa.int32())])
 
 

@@ -180,3 +180,11 @@ def test_reports_and_ablation(spark):
     alone = learning.ablation(df, "features", {"good": [0], "noise": [1]}, 1.0)
     assert alone["good"] > 0.95 > alone["noise"]
     assert learning.training_report(df.where("y = 1"), "features", (1.0,))["verdict"] == "too-few"
+
+
+def test_phrase_sections():
+    entries = b"".join(struct.pack(">HHH18x", i + 1, beat, kind) for i, (kind, beat) in enumerate([(1, 1), (2, 33), (6, 65)]))
+    body = struct.pack(">IHH", 24, 3, 2) + b"\0" * 12 + entries
+    data = b"HEAD" + struct.pack(">I", 8) + b"PSSI" + struct.pack(">II", 32, 12 + len(body)) + body
+    assert analysis.phrase_entries(data) == (2, [(1, 1), (2, 33), (6, 65)])
+    assert analysis.phrase_entries(data[:60]) is None and analysis.phrase_entries(b"") is None
