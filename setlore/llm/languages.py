@@ -39,7 +39,9 @@ SHARPNESS = 60.0
 
 _HIDDEN = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f\\xad\\u061c\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufeff]")
 _ENDS = ".!?…。！？"
-_CUT = re.compile(rf"(?<=[{_ENDS}])[\"”’»)\]]*\s+|(?<=[。！？])(?![。！？\"”’»)\]])|[\n\r\x0b\x0c\x85\u2028\u2029]+|[ \t\u00a0]{{2,}}")
+_LINES = re.compile("[\n\r\x0b\x0c\x85\u2028\u2029]+|[ \t\u00a0]{2,}")
+_QUOTES = "[\"”’»)\\]]"
+_STOP = re.compile(rf"[{_ENDS}]{_QUOTES}*(?:\s+|(?<=[。！？])(?![。！？{_QUOTES[1:]}))")
 _END = re.compile(rf"[{_ENDS}][\"”’»)\]]*$")
 _WORDS = re.compile(r"[\W\d_]*+(?:[^\W\d_]++[\W\d_]++){2}[^\W\d_]")
 _WIDE = "[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af]"
@@ -52,10 +54,13 @@ def sentences(text: str | None) -> list[str]:
     if not text:
         return []
     found = []
-    for piece in _CUT.split(_HIDDEN.sub("", text)):
-        piece = piece.strip()
-        if piece and _END.search(piece) and (_WORDS.match(piece) or _WIDE_LETTERS.search(piece)):
-            found.append(piece)
+    for line in _LINES.split(_HIDDEN.sub("", text)):
+        at, ends = 0, [m.end() for m in _STOP.finditer(line)]
+        for end in (*ends, len(line)):
+            piece = line[at:end].strip()
+            at = end
+            if piece and _END.search(piece) and (_WORDS.match(piece) or _WIDE_LETTERS.search(piece)):
+                found.append(piece)
     return found
 
 
