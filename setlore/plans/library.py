@@ -53,10 +53,9 @@ def last_seen(s: SparkSession, d: str) -> DataFrame:
 
 
 def history_merge(s: SparkSession, d: str) -> DataFrame:
-    """Transition counts of two sources added up (U06); both halves of the sessions stand for the sources."""
+    """Transition counts of two sources added up (U06); sessions with and without a known day stand for the sources."""
     played = _played(s, d)
-    half = F.pmod(F.col("session").cast("bigint"), F.lit(2))
-    both = op.transitions(played.where(half == 0)).unionByName(op.transitions(played.where(half == 1)))
+    both = op.transitions(played.where("day <> ''")).unionByName(op.transitions(played.where("day = ''")))
     return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
