@@ -119,8 +119,7 @@ def clean_text(df: DataFrame, id_col: str, fields: list[str], changed_only: bool
         F.col(id_col).cast("string").alias("id"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("f"),
     ).select("id", "f.field", "f.value").where("value is not null")
-    if changed_only:  # plain ASCII without control characters cannot change: it stays in the JVM
-        stacked = stacked.where(F.col("value").rlike(r"[^\t\n\r -~]"))
+    odd = F.col("value").rlike(r"[^\t\n\r -~]")  # plain ASCII without control characters cannot change: it stays in the JVM
     sql = f"SELECT * FROM ({clean_sql()}) WHERE clean <> value" if changed_only else clean_sql()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -137,7 +136,8 @@ def clean_text(df: DataFrame, id_col: str, fields: list[str], changed_only: bool
         finally:
             con.close()
 
-    return stacked.mapInArrow(run, "id string, field string, value string, clean string")
+    cleaned = stacked.where(odd).mapInArrow(run, "id string, field string, value string, clean string")
+    return cleaned if changed_only else cleaned.unionByName(stacked.where(~odd).withColumn("clean", F.col("value")))
 
 
 SCHEMA = pa.schema([(c, pa.string()) for c in ("id", "field", "value", "clean")])
