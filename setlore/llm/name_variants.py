@@ -69,6 +69,8 @@ OWN_NAMES, OWN_SHARE = 3, 0.25
 SHORT = 6
 #: In names with more words that are pet forms each of them stands for its first full name only.
 PETS_AT_ONCE = 4
+#: Of joins whose sides grow with the table. Spark takes the size of a stored table for that of the many rows that a function or explode() makes of it, and would send them through the driver.
+MERGE = "merge"
 #: Values in one cell of the join that lists pairs.
 CELL = 512
 
@@ -318,11 +320,11 @@ def aligned(a: pa.Array, b: pa.Array, dotted: pa.Array) -> pa.Array:
 def slip_links(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes whose best assignment has one slip, unless the table knows both words as words of their own."""
     index = _map(nodes.select("node"), "sig long, node string", [pa.int64(), TEXT], lambda node: [(s, node) for s in slip_signatures(node)])
-    met = index.join(index.withColumnRenamed("node", "node2"), "sig").where("node < node2").select("node", "node2").distinct()
+    met = index.hint(MERGE).join(index.withColumnRenamed("node", "node2"), "sig").where("node < node2").select("node", "node2").distinct()
     pairs = met.withColumn("m", aligned("node", "node2", F.array().cast("array<string>"))).where("m.cost = 1").select("node", "node2", "m.x", "m.y")
     stands = nodes.select(F.explode(F.array_distinct(F.split("node", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     for side in "xy":
-        pairs = pairs.join(stands.select(F.col("word").alias(side), F.col("n").alias(f"n{side}")), side)
+        pairs = pairs.hint(MERGE).join(stands.select(F.col("word").alias(side), F.col("n").alias(f"n{side}")), side)
     low, high, short = F.least("nx", "ny"), F.greatest("nx", "ny"), F.least(F.length("x"), F.length("y")) < SHORT
     own = (low >= F.when(short, 2).otherwise(OWN_NAMES)) & (low >= OWN_SHARE * high)
     pairs = materialise(pairs.where(~own).select("node", "node2", "nx", "ny", short.alias("short")))
@@ -334,7 +336,7 @@ def _chosen(pairs: DataFrame) -> DataFrame:
     ends = pairs.select("node", F.col("ny").alias("n"), F.col("node2").alias("near")).unionByName(pairs.select(F.col("node2").alias("node"), F.col("nx").alias("n"), F.col("node").alias("near"))).repartition("node")
     top = ends.groupBy("node", "n").agg(F.count("*").alias("many"), F.min("near").alias("goes")).groupBy("node").agg(F.max(F.struct("n", "many", "goes")).alias("top"))
     goes = top.where("top.many = 1").select("node", F.col("top.goes").alias("goes"))
-    met = pairs.join(goes, "node", "left").join(goes.select(F.col("node").alias("node2"), F.col("goes").alias("goes2")), "node2", "left")
+    met = pairs.hint(MERGE).join(goes, "node", "left").hint(MERGE).join(goes.select(F.col("node").alias("node2"), F.col("goes").alias("goes2")), "node2", "left")
     there, back = F.coalesce(F.col("goes") == F.col("node2"), F.lit(False)), F.coalesce(F.col("goes2") == F.col("node"), F.lit(False))
     return met.where(F.when(F.col("nx") < F.col("ny"), there).when(F.col("nx") > F.col("ny"), back).otherwise(there & back)).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
@@ -346,10 +348,10 @@ def short_forms(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """
     rows = materialise(_map(nodes, "node string, dotted array<string>, asks boolean, sig long", [TEXT, WORDS, pa.bool_(), pa.int64()], lambda node, dotted: [(node, dotted, asks, s) for asks, some in [letter_signatures(node, dotted)] for s in some]))
     asks = rows.where("asks").select("sig", "node", "dotted")
-    answers = rows.where("not asks").select("sig", F.col("node").alias("full")).join(asks.select("sig").distinct(), "sig", "left_semi")
-    fits = asks.join(answers, "sig").withColumn("m", aligned("node", "full", "dotted"))
+    answers = rows.where("not asks").select("sig", F.col("node").alias("full")).hint(MERGE).join(asks.select("sig").distinct(), "sig", "left_semi")
+    fits = asks.hint(MERGE).join(answers, "sig").withColumn("m", aligned("node", "full", "dotted"))
     fits = fits.where((F.col("m.cost") < 9) & (F.col("m.cost") <= 0.5 * F.size(F.filter(F.split("node", " "), lambda w: (F.length(w) == 1) | F.array_contains("dotted", w)))))
-    return fits.join(of.withColumnRenamed("node", "full"), "full").groupBy("node").agg(F.min("comp").alias("comp"), F.max("comp").alias("last")).where("comp = last").select("node", "comp")
+    return fits.hint(MERGE).join(of.withColumnRenamed("node", "full"), "full").groupBy("node").agg(F.min("comp").alias("comp"), F.max("comp").alias("last")).where("comp = last").select("node", "comp")
 
 
 def variants(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFrame:
@@ -369,18 +371,18 @@ def variants(df: DataFrame, column: str, grammar: Grammar = ARTISTS) -> DataFram
     read = materialise(readings(names))
     nodes = materialise(read.groupBy("node").agg(F.max("dotted").alias("dotted"), F.max("beside").alias("beside"), F.min("typed").alias("typed")))
     asked = nodes.where(F.size("beside") > 0).select("node", F.explode("beside").alias("full"))
-    held = asked.join(nodes.select(F.col("node").alias("full")), "full")
+    held = asked.hint(MERGE).join(nodes.select(F.col("node").alias("full")), "full")
     middle = F.size(F.split("node", " ")) > F.size(F.split("full", " "))
     # a middle initial only where no other one stands beside the same name
     single = held.where(middle).groupBy("full").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     links = slip_links(nodes).unionByName(held.where(~middle).select(F.col("node").alias("a"), F.col("full").alias("b"))).unionByName(single.select(F.col("node").alias("a"), F.col("full").alias("b")))
     of = components(links)
-    of = materialise(nodes.select("node").join(of, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+    of = materialise(nodes.select("node").hint(MERGE).join(of, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
     meant = short_forms(nodes.where("not typed").select("node", "dotted"), of).select("node", F.col("comp").alias("meant"))
-    entity = of.join(meant, "node", "left").select("node", F.coalesce("meant", "comp").alias("entity"))
-    member = materialise(read.select("key", "node").join(entity, "node").select("key", "entity").distinct())
+    entity = of.hint(MERGE).join(meant, "node", "left").select("node", F.coalesce("meant", "comp").alias("entity"))
+    member = materialise(read.select("key", "node").hint(MERGE).join(entity, "node").select("key", "entity").distinct())
     several = member.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity")
-    return names.join(member.join(several, "entity"), "key").select("value", "key", "entity")
+    return names.hint(MERGE).join(member.hint(MERGE).join(several, "entity"), "key").select("value", "key", "entity")
 
 
 def pairs(found: DataFrame) -> DataFrame:
@@ -390,8 +392,8 @@ def pairs(found: DataFrame) -> DataFrame:
     """
     found = materialise(found.select("value", "key", "entity").distinct())
     sizes = found.groupBy("entity").agg(F.count("*").alias("n"))
-    cells = found.join(sizes, "entity").withColumn("cells", F.ceil(F.col("n") / CELL)).withColumn("cell", F.pmod(F.xxhash64("value"), "cells"))
+    cells = found.hint(MERGE).join(sizes, "entity").withColumn("cells", F.ceil(F.col("n") / CELL)).withColumn("cell", F.pmod(F.xxhash64("value"), "cells"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
     left = cells.select("entity", F.col("value").alias("value_a"), F.col("key").alias("key_a"), F.col("cell").alias("row"), every.alias("column"))
     right = cells.select("entity", F.col("value").alias("value_b"), F.col("key").alias("key_b"), every.alias("row"), F.col("cell").alias("column"))
-    return left.join(right, ["entity", "row", "column"]).where("value_a < value_b and key_a <> key_b").select("value_a", "value_b").distinct()
+    return left.hint(MERGE).join(right, ["entity", "row", "column"]).where("value_a < value_b and key_a <> key_b").select("value_a", "value_b").distinct()

@@ -5,7 +5,9 @@ from itertools import combinations, permutations
 
 import pytest
 
+from setlore import session
 from setlore.llm import name_variants as op
+from setlore.operators import graph
 
 GIVEN = ["robert", "theodora", "lena", "zeno", "josé", "alexander", "margarethe", "greta", "otto"]
 RANDOM = random.Random(6)
@@ -113,3 +115,12 @@ def test_established_short_words_are_two_names(spark):
     apart = [f"{g} {x}" for g in ("Lena", "Robert", "Otto") for x in ("Meier", "Meyer")] + [f"{x} {k}" for x in ("Ada", "Ida") for k in ("Trio", "Quartet")]
     slip = [f"{g} Braun" for g in ("Lena", "Robert", "Otto", "Zeno")] + ["Lena Brun"]
     assert linked(spark, FILL + apart + slip) == {("Lena Braun", "Lena Brun")}
+
+
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(op, "materialise", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), session.materialise(df))[1])
+    monkeypatch.setattr(graph, "materialise", op.materialise)
+    found = op.variants(spark.createDataFrame([("Lena Braunfels",), ("Lena Braunfelz",), ("L. Braunfels",), ("Odin Trio",)], "artist string"), "artist")
+    plans.append(op.pairs(found)._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
